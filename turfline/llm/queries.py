@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from turfline.llm import survivorship_queries
+from turfline.llm import qdigest_queries, survivorship_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (survivorship_queries,):
+for module in (survivorship_queries, qdigest_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
