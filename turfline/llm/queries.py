@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from turfline.llm import leakage_queries, mixing_queries, qdigest_queries, survivorship_queries
+from turfline.llm import leakage_queries, mixing_queries, qdigest_queries, similarity_queries, survivorship_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (survivorship_queries, qdigest_queries, leakage_queries, mixing_queries):
+for module in (similarity_queries, survivorship_queries, qdigest_queries, leakage_queries, mixing_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
