@@ -269,10 +269,13 @@ def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     asks, members = asks.repartition(spread, *key), members.repartition(spread, *m_key)
     found = asks.groupBy(*key).cogroup(members.groupBy(*m_key)).applyInPandas(search, out_schema)
     best = ["other_id", "other_season", "cosine"]
-    direct = found.filter("one").select("kind", "player_id", "season", *best)
-    copies = found.filter("not one").select("kind", "h1", "h2", *best)
-    copies = copies.join(once.select("kind", "h1", "h2", "player_id", "season"), ["kind", "h1", "h2"]).filter("player_id <> other_id")
-    both = direct.unionByName(copies.select("kind", "player_id", "season", *best))
+    # the rows of vectors held more than once; one pass over what was found serves both kinds
+    copied = encoded.filter(F.size("heads") > 1).select("kind", "h1", "h2")
+    holders = once.join(copied, ["kind", "h1", "h2"], "left_semi").select("kind", "h1", "h2", F.col("player_id").alias("holder"), F.col("season").alias("held"))
+    both = found.join(holders, ["kind", "h1", "h2"], "left").select(
+        "kind", F.when(F.col("one"), F.col("player_id")).otherwise(F.col("holder")).alias("player_id"),
+        F.when(F.col("one"), F.col("season")).otherwise(F.col("held")).alias("season"), *best,
+    ).filter("player_id <> other_id")
     # two different vectors of one player and season are one row that asks twice
     rank = F.row_number().over(Window.partitionBy("kind", "player_id", "season").orderBy(F.desc("cosine"), "other_id", "other_season"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
