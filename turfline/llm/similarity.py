@@ -121,27 +121,33 @@ def block_search(
         if not len(own):
             continue
         asking = probes[by_list[s:e], 0]
-        here = np.unique(players[own])
-        step = max(1, 4_000_000 // len(own))
+        # rows of one player here: few are reranked along and dropped, many are masked
+        here, held = np.unique(players[own], return_counts=True)
+        extra, home = int(held.max()), index.centroids[which]
+        step = int(np.clip(2**18 // len(own), 16, 1024))  # the scores of a step stay in the processor's cache
         for i in range(0, len(asking), step):
             q = asking[i : i + step]
             x = q_unit[q]
-            score = np.broadcast_to(x @ index.centroids[which], (len(own), len(q))).copy()
-            for m, book in enumerate(index.codebooks):  # the asymmetric distance table of part m, one row per entry
+            score = np.empty((len(own), len(q)), np.float32)
+            score[:] = x @ home
+            for m, book in enumerate(index.codebooks):  # the asymmetric distance table of a part, one row per entry
                 table = book @ x[:, m * PART : (m + 1) * PART].T
                 score += table[codes[own, m]]
-            mine = np.flatnonzero(single[q] & np.isin(owners[q], here))
-            if len(mine):
+            if extra > RERANK:
+                mine = np.flatnonzero(single[q] & np.isin(owners[q], here))
                 score[:, mine] = np.where(players[own][:, None] == owners[q][mine][None, :], -np.inf, score[:, mine])
             # single owners need k rows; copies held by several need as many as one of them may own
-            r = RERANK if single[q].all() else RERANK + COPIES
+            r = RERANK + min(extra, RERANK) if single[q].all() else RERANK + COPIES + min(extra, RERANK)
             if len(own) > r:
-                top = np.argpartition(score, len(own) - r, axis=0)[len(own) - r :]
+                top = np.argpartition(np.ascontiguousarray(score.T), len(own) - r, axis=1)[:, len(own) - r :]
             else:
-                top = np.broadcast_to(np.arange(len(own))[:, None], score.shape)
-            picked = own[top].T  # (queries, r)
+                top = np.broadcast_to(np.arange(len(own)), score.T.shape)
+            picked = own[top]  # (queries, r)
             cosine = np.einsum("qd,qrd->qr", q64[q], m64[picked]) / (q_norm[q][:, None] * m_norm[picked])
-            keep = ~(single[q][:, None] & (players[picked] == owners[q][:, None]))
+            cosine[single[q][:, None] & (players[picked] == owners[q][:, None])] = -np.inf
+            enough = min(k if single[q].all() else k + COPIES, picked.shape[1])
+            least = np.partition(cosine, picked.shape[1] - enough, axis=1)[:, picked.shape[1] - enough]
+            keep = (cosine >= least[:, None]) & (cosine > -np.inf)  # equal ones stay for the final order
             rows = np.broadcast_to(q[:, None], picked.shape)[keep]
             out.append((rows, picked[keep], cosine[keep]))
     if not out:
