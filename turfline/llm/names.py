@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.text import words
+from turfline.session import cut
 
 # Particles of surnames.
 PARTICLES = frozenset("al ben bin da de del della den der di do dos du el la le ten ter van von".split())
@@ -160,7 +161,10 @@ class Names:
             return 0.0
         if sorted(x) == sorted(y) and len(x) > 1:
             return 1.0
-        best = self._score(x, y)
+        whole_x, whole_y = ([t for t in n if len(t) >= 4 and t not in self.classes] for n in (x, y))
+        # without a part that agrees, only parts split or joined can make one
+        hope = not whole_x or not whole_y or any(self._alike(s, t) >= SURNAME for s in whole_x for t in whole_y)
+        best = self._score(x, y) if hope else 0.0
         if best < 0.93:  # a token may be split in two, or two joined
             for one, other in ((x, y), (y, x)):
                 for i in range(len(one) - 1):
@@ -213,39 +217,49 @@ def learned_nicknames(aliases: DataFrame, players: DataFrame, support: int = 3,
     return dict(out)
 
 
-def candidates(asked: DataFrame, index: DataFrame, short: Mapping[str, Iterable[str]]) -> DataFrame:
-    """Pairs ``ask``, ``name`` of names that share a blocking key; both inputs have one column ``name`` of distinct names.
+def keyed(names: DataFrame, short: Mapping[str, Iterable[str]]) -> DataFrame:
+    """``name``, ``key`` and ``others`` (classes of the other tokens) of distinct names."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compared = Names(short)
+        for batch in batches:
+            yield pd.DataFrame([(n, k, o) for n in batch["name"] for k, o in compared.keys(n)], columns=["name", "key", "others"])
+
+    return names.select("name").mapInPandas(each, "name string, key string, others array<string>")
+
+
+def paired(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """``ask``, ``name`` and ``held``, the index names of the key, for every key that two ``keyed`` names share.
 
     A key held by few index names pairs by itself; a more common one only where another token's initial, and a very common
     one where another token's class, agrees too. No pair beyond that is dropped.
     """
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = Names(short)
-        for batch in batches:
-            rows = [(n, k, o) for n in batch["name"] for k, o in names.keys(n)]
-            yield pd.DataFrame(rows, columns=["name", "key", "others"])
-
-    schema = "name string, key string, others array<string>"
-    left, right = asked.mapInPandas(keyed, schema), index.mapInPandas(keyed, schema)
+    left, right = asked, index
     out = None
     for level, most in enumerate((COMMON, VERY_COMMON, None)):
         if level:
-            part = F.explode(F.array_distinct(F.transform("others", lambda o: F.substring(o, 1, 1) if level == 1 else o)))
-            left, right = (side.select("name", "others", F.col("key").alias("base"), part.alias("part")) for side in (left, right))
+            part = F.explode(F.array_distinct(F.transform("others", lambda o: F.substring(o, 1, 1) if level == 1 else o)))  # noqa: B023
+            base = F.col("key") if level == 1 else F.regexp_replace("key", r"\|.$", "")
             left, right = (
-                side.select("name", "others", F.concat_ws("|", F.col("base") if level == 1 else F.regexp_replace("base", r"\|.*$", ""), "part").alias("key"))
+                side.select("name", "others", base.alias("base"), part.alias("part")).select("name", "others", F.concat_ws("|", "base", "part").alias("key"))
                 for side in (left, right)
-            )
+            )
+            left, right = left.distinct(), right.distinct()
+        held = right.groupBy("key").agg(F.count("*").alias("held"))
+        few = held if most is None else held.filter(F.col("held") <= most)
+        pairs = left.join(right.join(few, "key").select("key", "held", F.col("name").alias("found")), "key")
+        pairs = pairs.select(F.col("name").alias("ask"), F.col("found").alias("name"), "held")
+        out = pairs if out is None else out.unionByName(pairs)
         if most is not None:
-            held = right.groupBy("key").agg(F.count("*").alias("n"))
-            few, many = held.filter(F.col("n") <= most).select("key"), held.filter(F.col("n") > most).select("key")
-            pairs = left.join(right.join(few, "key", "left_semi").select("key", F.col("name").alias("found")), "key")
+            many = held.filter(F.col("held") > most).select("key")
             left, right = left.join(many, "key", "left_semi"), right.join(many, "key", "left_semi")
-        else:
-            pairs = left.join(right.select("key", F.col("name").alias("found")), "key")
-        pairs = pairs.select(F.col("name").alias("ask"), F.col("found").alias("name"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    return out
+
+
+def candidates(asked: DataFrame, index: DataFrame, short: Mapping[str, Iterable[str]]) -> DataFrame:
+    """Pairs ``ask``, ``name`` of names that share a blocking key; both inputs have one column ``name`` of distinct names."""
+    # keys are made in Python: kept, so that every level reads them and none makes them again
+    return paired(cut(keyed(asked, short)), cut(keyed(index, short))).select("ask", "name").distinct()
 
 
 def scored(pairs: DataFrame, short: Mapping[str, Iterable[str]], least: float = ACCEPT) -> DataFrame:
