@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from turfline.llm import leakage_queries, mixing_queries, name_queries, qdigest_queries, similarity_queries, survivorship_queries, truncation_queries
+from turfline.llm import leakage_queries, linkage_queries, mixing_queries, name_queries, qdigest_queries, similarity_queries, survivorship_queries, truncation_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (similarity_queries, name_queries, survivorship_queries, qdigest_queries, leakage_queries, mixing_queries, truncation_queries):
+for module in (
+    linkage_queries, similarity_queries, name_queries, survivorship_queries, qdigest_queries, leakage_queries, mixing_queries, truncation_queries,
+):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
