@@ -138,8 +138,8 @@ class Names:
         if len(found) < 2:
             return 0.0
         real_a, real_b = [t for t in rest_a if t not in PARTICLES], [t for t in rest_b if t not in PARTICLES]
-        if real_a and real_b:
-            return 0.0  # each has a part the other contradicts
+        # each has a part that the other lacks: one name alone doesn't decide then
+        apart = 0.18 if real_a and real_b else 0.0
         whole = [p for p in found if len(p[1]) >= 4 and len(p[2]) >= 4]
         names = [p for p in whole if p[1] not in self.classes and p[2] not in self.classes] or whole
         if not names:
@@ -152,7 +152,7 @@ class Names:
             return 0.0
         given = sum(p[0] for p in others) / len(others)
         loose = len(rest_a) + len(rest_b) - len(real_a) - len(real_b)
-        return 0.65 * surname[0] + 0.35 * given - 0.02 * (len(real_a) + len(real_b)) - 0.005 * loose
+        return 0.65 * surname[0] + 0.35 * given - 0.02 * (len(real_a) + len(real_b)) - 0.005 * loose - apart
 
     def score(self, a: str, b: str) -> float:
         """Agreement of two names, 0 to 1; tokens are separated by spaces. Empty names agree with none."""
