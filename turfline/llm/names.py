@@ -39,7 +39,7 @@ SOUNDS = (("ph", "f"), ("qu", "k"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z", "
 #: A key held by more index names than this is kept only with the initial, beyond the second number with the class, of another token.
 COMMON, VERY_COMMON = 5, 60
 #: Ratios from which a surname and another token agree, and the score from which names do.
-SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.86
+SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.88
 
 
 @lru_cache(200_000)
