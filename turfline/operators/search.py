@@ -147,4 +147,4 @@ def radar_points(rows: DataFrame, radius: float = 100.0, least: int = 3) -> Data
     angle = -F.pi() / 2 + 2 * F.pi() * F.col("i") / F.col("n")
     reach = F.greatest(F.least(F.col("percentile"), F.lit(100)), F.lit(0)) / 100.0 * radius
     rows = rows.withColumn("i", i).withColumn("n", n).filter(F.col("n") >= least)
-    return rows.select("player_id", "season", "metric", F.round(F.cos(angle) * reach, 4).alias("x"), F.round(F.sin(angle) * reach, 4).alias("y"))
+    return rows.select("player_id", "season", "metric", (F.round(F.cos(angle) * reach, 4) + 0.0).alias("x"), (F.round(F.sin(angle) * reach, 4) + 0.0).alias("y"))

@@ -78,7 +78,7 @@ def event_per90(spark: SparkSession, d: str) -> DataFrame:
     minutes = events.filter("period <= 4").groupBy(F.col("player_id").cast("int").alias("player_id")).agg((F.count("*") * 10.0).alias("minutes"))
     totals = E.event_counters(events).groupBy("player_id").agg(*[F.sum(c).alias(c) for c in E.COUNTERS])
     rows = E.per90(totals.join(minutes, "player_id"))
-    return rows.select("player_id", "minutes", *[F.round(k, 6).alias(k) for k in METRIC_KEYS])
+    return rows.select("player_id", "minutes", *[F.round(k, 9).alias(k) for k in METRIC_KEYS])
 
 
 def stint_minutes(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ FROM (SELECT match_id, unnest(map_keys(period_start)) AS p, period_start, period
     "event_counts": f"WITH {COUNTS_SQL} SELECT match_id, player_id, {', '.join(f'round({c}, 6) AS {c}' for c in E.COUNTERS)} FROM cnt",
     "per90_metrics": f"""WITH {COUNTS_SQL}, mins AS (SELECT CAST(player_id AS INT) AS player_id, count(*) * 10.0::DOUBLE AS minutes FROM ev WHERE period <= 4 GROUP BY 1),
 tot AS (SELECT player_id, minutes, {', '.join(f'sum({c}) AS {c}' for c in E.COUNTERS)} FROM cnt JOIN mins USING (player_id) GROUP BY ALL)
-SELECT player_id, minutes, {', '.join(f'round({v}, 6) AS {k}' for k, v in RATE.items())} FROM tot""",
+SELECT player_id, minutes, {', '.join(f'round({v}, 9) AS {k}' for k, v in RATE.items())} FROM tot""",
     "stint_minutes": f"WITH {PLAYED_SQL} SELECT match_id, team, player_id, position_group, round(minutes, 6) AS minutes FROM app",
     "season_totals": f"""WITH {PLAYED_SQL},
 modes AS (SELECT player_id, season, position_group, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, position_group) AS n FROM app GROUP BY player_id, season, position_group)
