@@ -20,28 +20,32 @@ BROADCAST_GRAMS = 500_000
 
 
 def windows(texts: DataFrame, row: str, text: str, n: int) -> DataFrame:
-    """``row``, ``at`` (place of the first word, from 0), ``key`` and ``gram`` of every run of n words."""
+    """``row``, ``at`` (place of the first word, from 0) and ``key`` (a hash) of every run of n words."""
     split = texts.select(row, words(F.col(text)).alias("w")).filter(F.size("w") >= n)
-    # one array of hashes per text; the words of a window are only built for hits
     keys = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
-    return split.select(row, "w", F.posexplode(keys).alias("at", "key"))
+    return split.select(row, F.posexplode(keys).alias("at", "key"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, n: int = 10, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Windows of documents that are windows of items: ``doc``, ``at`` (word number in the document), ``item``, ``item_at``.
 
     Words are runs of letters and digits, compared without case and accents. Null and empty texts, and texts of fewer
-    than n words, have no window; a null id keeps its row; repeated rows give repeated hits; extra columns are ignored.
+    than n words, have no window; rows with a null id aren't reported; a repeated document is reported once; extra columns
+    are ignored. Windows travel as one number each, whatever the length of a text; the documents hit are read again and
+    verified word by word.
     """
-    gram = F.slice("w", F.col("at") + 1, n)
-    test = windows(items.select(F.col(item).alias("__item"), F.col(text).alias("__text")), "__item", "__text", n)
-    test = test.select("__item", F.col("at").alias("__item_at"), F.col("key").alias("__key"), gram.alias("__gram"))
-    small = items.select(F.sum(F.size(words(F.col(text))))).first()[0] or 0
-    if small <= BROADCAST_GRAMS:
-        test = F.broadcast(test)
-    found = windows(documents.select(doc, text), doc, text, n)
-    hits = found.join(test, F.col("key") == F.col("__key")).filter(gram == F.col("__gram"))
-    return hits.select(doc, "at", F.col("__item").alias(item), F.col("__item_at").alias("item_at"))
+    docs = documents.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).filter(F.col("__doc").isNotNull())
+    tests = items.select(F.col(item).alias("__item"), F.col(text).alias("__text")).filter(F.col("__item").isNotNull())
+    keys = windows(tests, "__item", "__text", n).select("__item", F.col("at").alias("__item_at"), F.col("key").alias("__key"))
+    small = tests.select(F.sum(F.size(words(F.col("__text"))))).first()[0] or 0
+    hits = windows(docs, "__doc", "__text", n).join(F.broadcast(keys) if small <= BROADCAST_GRAMS else keys, F.col("key") == F.col("__key"))
+    hits = hits.groupBy("__doc").agg(F.collect_set(F.struct("at", "__item", "__item_at")).alias("__hits"))
+    grams = tests.select(F.col("__item").alias("__i"), words(F.col("__text")).alias("__iw"))
+    again = docs.join(hits, "__doc").select("__doc", words(F.col("__text")).alias("__w"), F.explode("__hits").alias("__h"))
+    gram = again.select("__doc", "__h.*", F.slice("__w", F.col("__h.at") + 1, n).alias("__gram"))
+    same = gram.join(F.broadcast(grams) if small <= BROADCAST_GRAMS else grams, F.col("__item") == F.col("__i"))
+    same = same.filter(F.col("__gram") == F.slice("__iw", F.col("__item_at") + 1, n))
+    return same.select(F.col("__doc").alias(doc), "at", F.col("__item").alias(item), F.col("__item_at").alias("item_at")).distinct()
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, n: int = 10, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:

@@ -38,6 +38,8 @@ SOUNDS = (("ph", "f"), ("qu", "k"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z", "
 
 #: A key held by more index names than this is kept only with the initial, beyond the second number with the class, of another token.
 COMMON, VERY_COMMON = 5, 60
+#: A text of more words is no name: it has no keys and is linked to none.
+MOST_TOKENS = 15
 #: Ratios from which a surname and another token agree, and the score from which names do.
 SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.88
 
@@ -176,6 +178,8 @@ class Names:
     def keys(self, name: str) -> list[tuple[str, list[str]]]:
         """Blocking keys of a name, each with the classes of its other tokens."""
         tokens = name.split()
+        if len(tokens) > MOST_TOKENS:
+            return []
         spans = [(i, i + 1, t) for i, t in enumerate(tokens)] + [(i, i + 2, tokens[i] + tokens[i + 1]) for i in range(len(tokens) - 1)]
         out: dict[str, set[str]] = defaultdict(set)
         for i, j, token in spans:
