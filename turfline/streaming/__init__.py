@@ -1 +1 @@
-
+"""Running forms of batch plans."""
