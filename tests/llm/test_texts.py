@@ -81,7 +81,7 @@ def test_repair_and_lengths():
     assert repaired("caf&eacute; Ã©tÃ© <b>x</b>") == "café été  x "
     assert repaired("Âme Åse") == "Âme Åse"
     assert lengths('é"\n') == [3, 4, 3, 8, 5, 10, 4, 5]
-    assert [k for k, *_ in kinds("In minute 3, Ana ran. Bob")] == ["in", "minute", "0", "N", "ran", "bob"]
+    assert kinds("In minute 3, Ana ran. Bob")[0] == ["in", "minute", "0", "N", "ran", "bob"]
 
 
 def test_limits_and_cuts(spark):
