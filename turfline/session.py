@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,34 +15,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session that names none gets a folder of its own, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, as the cluster names it; a local session that names none gets one of its own."""
     sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="turfline-shared-")
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        folder = shared_folder(df.sparkSession)
+        if folder is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turfline-checkpoint-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application; they need not find it on their own path."""
+    """Hand this package to the Python workers, once per application; they need not find it on their own path.
+
+    The archive lies in the shared folder. Without one, workers must find the package by themselves.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_turfline_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="turfline-package-"), "turfline.zip")  # read by the driver, which serves it
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+    sc._turfline_shipped = True
+    folder = shared_folder(spark)
+    if folder is None:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
-    sc.addPyFile(archive)
-    sc._turfline_shipped = True
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(folder, f"{sc.applicationId}-package/turfline.zip")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    stream = fs.create(target, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    sc.addPyFile(fs.makeQualified(target).toString())
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
