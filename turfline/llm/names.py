@@ -44,7 +44,7 @@ MOST_TOKENS = 15
 SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.88
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def sound(token: str) -> str:
     """Spelling by sound, doubled letters once."""
     for a, b in SOUNDS:
@@ -66,7 +66,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-@lru_cache(500_000)
+@lru_cache(100_000)
 def lcs_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence by the sum of lengths: the better of letters and sounds."""
     if a == b:
@@ -95,7 +95,7 @@ class Names:
                     if t not in self.classes:
                         self.classes[t] = token
                         todo += self.of[t]
-        self._alike = lru_cache(500_000)(self._compare)
+        self._alike = lru_cache(100_000)(self._compare)
 
     def class_of(self, token: str) -> str:
         return self.classes.get(token, token)
