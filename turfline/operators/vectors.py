@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.scalars import cosine, padded, unit
 from turfline.registry import LOWER_IS_BETTER, METRIC_KEYS, VECTOR_SIZE
+from turfline.session import cut
 
 
 def complete_rows(stats: DataFrame, keys: Sequence[str] = tuple(sorted(METRIC_KEYS))) -> DataFrame:
@@ -75,7 +76,8 @@ def player_vectors(stats: DataFrame, percentile_maps: DataFrame, keys: Sequence[
     """player_id, season, style_vec, quality_vec, model_version of rows with all metrics and all percentiles."""
     rows = complete_rows(stats, keys).join(percentile_maps, ["player_id", "season"])
     rows = rows.withColumn("q", F.array(*[F.col("percentiles")[k] / 100.0 for k in keys])).filter(~F.exists("q", lambda v: v.isNull()))
-    rows = scaled(rows, keys=keys).withColumn("x", unit(F.col("x")))
+    rows = scaled(rows, keys=keys).select("player_id", "season", unit(F.col("x")).alias("x"), "q")
+    rows = cut(rows)  # read by both reductions and the projection
     both = reduced(reduced(rows, "x", "style_vec"), "q", "quality_vec")
     return both.select("player_id", "season", "style_vec", "quality_vec", F.lit(version).alias("model_version"))
 

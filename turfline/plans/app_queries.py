@@ -335,7 +335,7 @@ FROM ex LEFT JOIN sw USING (shortlist_id)""",
     "upsert_merge": f"""WITH {UPDATES_SQL}
 SELECT p.player_id, p.full_name, CASE WHEN u.player_id IS NOT NULL THEN h ELSE height_cm END AS height_cm, CASE WHEN u.player_id IS NOT NULL THEN v ELSE market_value_eur END AS market_value_eur,
   coalesce(CAST(mid AS VARCHAR), source_ids['transfermarkt']) AS market_id,
-  CASE WHEN u.player_id IS NULL THEN cardinality(source_ids) ELSE coalesce(cardinality(source_ids), 0) + CASE WHEN list_contains(map_keys(source_ids), 'transfermarkt') THEN 0 ELSE 1 END END AS ids
+  CAST(CASE WHEN u.player_id IS NULL THEN cardinality(source_ids) ELSE coalesce(cardinality(source_ids), 0) + CASE WHEN list_contains(map_keys(source_ids), 'transfermarkt') THEN 0 ELSE 1 END END AS INT) AS ids
 FROM players p LEFT JOIN up u USING (player_id)
 UNION ALL SELECT player_id + 1000000, name, h, v, CAST(mid AS VARCHAR), 1 FROM up""",
     "map_merge": """WITH nw AS (SELECT player_id, source AS k, max(source_id) AS v FROM player_aliases WHERE player_id IS NOT NULL GROUP BY ALL),
