@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.scalars import percentile_of, season_year
 from turfline.registry import LOWER_IS_BETTER, MIN_MINUTES, POSITION_LABELS, SEASON_SPAN
+from turfline.session import cut
 
 
 def one_row_each(stats: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def percentiles(stats: DataFrame, min_minutes: int = MIN_MINUTES, span: int = SE
     Equal values are counted before they are ranked: a window runs over the distinct values of a group and metric, not
     over its rows, and the ranks are joined back.
     """
-    rows = centred(one_row_each(stats.filter(F.col("minutes") >= min_minutes)), span)
+    once = cut(one_row_each(stats.filter(F.col("minutes") >= min_minutes)))  # read for seasons, values and rows
+    rows = centred(once, span)
     rows = rows.select("player_id", "season", group_id().alias("peer_group_id"), "metric", "raw_value")
     key = ["peer_group_id", "metric"]
     good = F.when(F.col("metric").isin(LOWER_IS_BETTER), -F.col("raw_value")).otherwise(F.col("raw_value"))

@@ -81,7 +81,7 @@ def search(
     The percentile threshold (in any peer group) is a semi-join. By default it thins out the rows found, as the search
     always did; before the limit it fills them up.
     """
-    rows = stats.join(players, "player_id").join(F.broadcast(competitions), "competition_id").filter(filters.condition(as_of))
+    rows = stats.join(players, "player_id").join(competitions, "competition_id").filter(filters.condition(as_of))
     keep = ["player_id", "full_name", "position_group", "season", "minutes", "club_id", "competition_name", "contract_until", "market_value_eur"]
     rows = rows.select(*keep)
     top = lambda r: r.orderBy(F.desc_nulls_last("minutes"), "player_id", "season", "club_id", "competition_name").limit(limit)
@@ -94,8 +94,8 @@ def search(
 
 
 def radars(found: DataFrame, percentiles: DataFrame, keys: Sequence[str] = tuple(SEARCH_RADAR)) -> DataFrame:
-    """``radar`` (metric, percentile) per player and season of the players found, sorted; the ids found are few and broadcast."""
-    ids = F.broadcast(found.select("player_id").distinct())
+    """``radar`` (metric, percentile) per player and season of the players found, sorted."""
+    ids = found.select("player_id").distinct()
     rows = percentiles.filter(F.col("metric").isin(list(keys))).join(ids, "player_id", "left_semi")
     return rows.groupBy("player_id", "season").agg(F.array_sort(F.collect_list(F.struct("metric", "percentile"))).alias("radar"))
 

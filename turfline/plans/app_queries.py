@@ -108,7 +108,7 @@ def search_radar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def players_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.stats_only(spark, d).join(table(spark, d, "players"), "player_id").join(F.broadcast(B.competitions(spark, d)), "competition_id")
+    rows = B.stats_only(spark, d).join(table(spark, d, "players"), "player_id").join(B.competitions(spark, d), "competition_id")
     return rows.select("player_id", "full_name", "season", "competition_name", "club_id", "minutes", "matches_played")
 
 
