@@ -57,12 +57,19 @@ class Planned(NamedTuple):
     reachable: bool
 
 
+def check_sources(targets: DataFrame) -> None:
+    """Raise if there are more targets than may be broadcast and planned on the driver."""
+    if targets.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+
+
 def sized_documents(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc_id``, ``source`` in the spelling of the targets (null if none of them) and ``tokens`` of every document.
 
     Names are matched without case, outer spaces and separators; target names must differ then. Tokenizing is one narrow
     pass over the scan.
     """
+    check_sources(targets)
     names = F.broadcast(targets.select(source_key(F.col("source")).alias("__key"), F.col("source").alias("__name")))
     sized = documents.select("doc_id", source_key(F.col("source")).alias("__key"), token_counts(F.col("text"), path).alias("tokens"))
     return sized.join(names, "__key", "left").select("doc_id", F.col("__name").alias("source"), "tokens")
@@ -79,8 +86,7 @@ def plan(sized: DataFrame, targets: DataFrame, size: int | None = None) -> list[
     """
     wanted = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("repeats"))
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    if targets.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    check_sources(targets)
     have = {r["source"]: (r["tokens"] or 0, r["n"]) for r in totals.collect()}
     rows = [(r["source"], r["share"], r["repeats"], *have.get(r["source"], (0, 0))) for r in wanted.collect()]
     whole = sum(t for t, _ in have.values())
