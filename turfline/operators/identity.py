@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from turfline.functions.text import normalize_name
 from turfline.registry import AUTO_SCORE, NATIONALITY_PENALTY, REVIEW_SCORE
 
-#: Most candidates that are broadcast to every query; more are joined by shared tokens.
-BROADCAST_CANDIDATES = 50_000
+#: Most candidate names that are broadcast, and most pairs of names compared exhaustively; more are joined by shared tokens.
+BROADCAST_NAMES, EXHAUSTIVE_PAIRS = 50_000, 5_000_000
 
 
 def lcs(a: Column, b: Column) -> Column:
@@ -58,14 +58,16 @@ def scored_pairs(queries: DataFrame, candidates: DataFrame, exhaustive: bool | N
     """``query_id``, ``player_id``, ``score`` of queries (query_id, raw_name, birth_date, nationality) and candidates
     (player_id, normalized_name, birth_date, nationality).
 
-    Every candidate is compared with every query where the candidates are few enough to be broadcast (their number is
-    checked); beyond that candidates must share a token with the query. Distinct pairs of names are scored once.
+    Every candidate is compared with every query where names are few enough (their number is checked); beyond that
+    candidates must share a token with the query, so that a name misspelt in every token finds nobody. Distinct pairs of
+    names are scored once.
     """
     q = queries.select("query_id", normalize_name(F.col("raw_name")).alias("q_name"), F.col("birth_date").alias("q_birth"), F.col("nationality").alias("q_nations"))
     c = candidates.select("player_id", F.col("normalized_name").alias("c_name"), F.col("birth_date").alias("c_birth"), F.col("nationality").alias("c_nations"))
     names, others = q.select("q_name").distinct(), c.select("c_name").distinct()
     if exhaustive is None:
-        exhaustive = others.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES and names.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+        few = others.limit(BROADCAST_NAMES + 1).count()
+        exhaustive = few <= BROADCAST_NAMES and few * names.limit(EXHAUSTIVE_PAIRS + 1).count() <= EXHAUSTIVE_PAIRS
     if exhaustive:
         pairs = names.crossJoin(F.broadcast(others))
     else:
