@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.llm.qdigest import digests, merge, misranked, quantiles
+from turfline.registry import LOWER_IS_BETTER
 from turfline.session import table
 
-# The metrics that count as better when lower.
-LOWER_IS_BETTER = ["fouls_committed", "yellow_cards", "red_cards"]
 #: Compression of the digests: a rank error of at most 16 / K of the rows.
 K = 6400
 PROBABILITIES = (0.1, 0.25, 0.5, 0.75, 0.9)

@@ -13,8 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The position groups.
-POSITION_GROUPS = ["GK", "DC", "FB", "DM", "CM", "AM", "W", "ST"]
+from turfline.registry import POSITION_LABELS
 
 
 class Field(NamedTuple):
@@ -29,7 +28,7 @@ def player_fields() -> dict[str, Field]:
     return {
         "market_value_eur": Field(value.between(25_000, 500_000_000), F.floor(F.log2(value.cast("double"))).cast("string"), value.cast("string")),
         "contract_until": Field(F.year(until).between(2015, 2040), F.year(until).cast("string"), until.cast("string")),
-        "position_group": Field(position.isin(POSITION_GROUPS), position, position),
+        "position_group": Field(position.isin(list(POSITION_LABELS)), position, position),
     }
 
 
