@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from turfline.functions.text import words
 from turfline.session import cut
 
-# Particles of surnames.
-PARTICLES = frozenset("al ben bin da de del della den der di do dos du el la le ten ter van von".split())
+# Particles of surnames, and marks of generation, which tell no persons apart here.
+PARTICLES = frozenset("al ben bin da de del della den der di do dos du el la le ten ter van von filho ii iii jr junior neto sr".split())
 # Common nicknames and the given names they stand for.
 NICKNAMES = {
     "alex": "alexander", "bart": "bartholomew", "ben": "benjamin", "benji": "benjamin", "beto": "roberto", "bob": "robert", "dani": "daniel",
@@ -40,8 +40,10 @@ SOUNDS = (("ph", "f"), ("qu", "k"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z", "
 COMMON, VERY_COMMON = 5, 60
 #: A text of more words is no name: it has no keys and is linked to none.
 MOST_TOKENS = 15
+#: Share of the letters before the common ending in which two forms of a surname may differ, and what more costs.
+STEM, UNLIKE = 0.34, 0.06
 #: Ratios from which a surname and another token agree, and the score from which names do.
-SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.88
+SURNAME, TOKEN, ACCEPT = 0.78, 0.74, 0.86
 
 
 @lru_cache(50_000)
@@ -78,6 +80,18 @@ def lcs_ratio(a: str, b: str) -> float:
     return max(plain, 0.99 * 2 * lcs_length(x, y) / (len(x) + len(y)))
 
 
+def unlike_stems(a: str, b: str) -> bool:
+    """Whether two tokens differ in two or more of the few letters before their common ending: alike by a usual suffix only."""
+    x, y = sound(a), sound(b)
+    n = 0
+    while n < min(len(x), len(y)) and x[-1 - n] == y[-1 - n]:
+        n += 1
+    x, y = x[: len(x) - n], y[: len(y) - n]
+    longer = max(len(x), len(y))
+    apart = longer - lcs_length(x, y)
+    return apart >= 2 and apart > STEM * longer
+
+
 class Names:
     """Compares names as lists of tokens; ``short`` maps nicknames to the names they stand for."""
 
@@ -153,6 +167,7 @@ class Names:
         if not others:
             return 0.0
         given = sum(p[0] for p in others) / len(others)
+        apart += UNLIKE if unlike_stems(surname[1], surname[2]) else 0.0
         loose = len(rest_a) + len(rest_b) - len(real_a) - len(real_b)
         return 0.65 * surname[0] + 0.35 * given - 0.02 * (len(real_a) + len(real_b)) - 0.005 * loose - apart
 
