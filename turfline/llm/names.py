@@ -80,6 +80,23 @@ def lcs_ratio(a: str, b: str) -> float:
     return max(plain, 0.99 * 2 * lcs_length(x, y) / (len(x) + len(y)))
 
 
+@lru_cache(100_000)
+def letters(token: str) -> tuple[int, int, int, int]:
+    """Set of letters and length of a token as typed and by sound."""
+    sounds = sound(token)
+    bits = lambda t: sum({1 << (ord(c) % 61) for c in t})
+    return bits(token), len(token), bits(sounds), len(sounds)
+
+
+def may_agree(a: str, b: str, least: float) -> bool:
+    """Whether the ratio of two tokens can reach ``least``: letters that only one of them has are in no common subsequence."""
+    x, n, xs, ns = letters(a)
+    y, m, ys, ms = letters(b)
+    if 2 * min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count()) >= least * (n + m):
+        return True
+    return 2 * min(ns - (xs & ~ys).bit_count(), ms - (ys & ~xs).bit_count()) >= least * (ns + ms)
+
+
 def unlike_stems(a: str, b: str) -> bool:
     """Whether two tokens differ in two or more of the few letters before their common ending: alike by a usual suffix only."""
     x, y = sound(a), sound(b)
@@ -171,6 +188,9 @@ class Names:
         loose = len(rest_a) + len(rest_b) - len(real_a) - len(real_b)
         return 0.65 * surname[0] + 0.35 * given - 0.02 * (len(real_a) + len(real_b)) - 0.005 * loose - apart
 
+    def _longest(self, tokens: list[str]) -> str:
+        return max((t for t in tokens if len(t) >= 4 and t not in self.classes and t not in PARTICLES), key=len, default="")
+
     def score(self, a: str, b: str) -> float:
         """Agreement of two names, 0 to 1; tokens are separated by spaces. Empty names agree with none."""
         x, y = a.split(), b.split()
@@ -178,15 +198,18 @@ class Names:
             return 0.0
         if sorted(x) == sorted(y) and len(x) > 1:
             return 1.0
-        whole_x, whole_y = ([t for t in n if len(t) >= 4 and t not in self.classes] for n in (x, y))
-        # without a part that agrees, only parts split or joined can make one
-        hope = not whole_x or not whole_y or any(self._alike(s, t) >= SURNAME for s in whole_x for t in whole_y)
+        # the longest part of either name must find its like in the other, unless parts are split or joined
+        hope = all(
+            any((len(t) == 1 or may_agree(longest, t, TOKEN)) and self._alike(longest, t) >= TOKEN for t in other)
+            for longest, other in ((self._longest(x), y), (self._longest(y), x))
+            if longest
+        )
         best = self._score(x, y) if hope else 0.0
         if best < 0.93:  # a token may be split in two, or two joined
             for one, other in ((x, y), (y, x)):
                 for i in range(len(one) - 1):
                     joined = one[i] + one[i + 1]
-                    if any(abs(len(joined) - len(t)) < 4 and lcs_ratio(joined, t) >= SURNAME for t in other):
+                    if any(abs(len(joined) - len(t)) < 4 and may_agree(joined, t, SURNAME) and lcs_ratio(joined, t) >= SURNAME for t in other):
                         best = max(best, self._score([*one[:i], joined, *one[i + 2 :]], other) - 0.02)
         return best
 
