@@ -2,8 +2,8 @@
 
 Tokens are compared by the ratio of their longest common subsequence, after a light phonetic rewriting; initials, nicknames
 learned from resolved aliases, split and joined tokens and reordered parts are understood. Candidates come from suffix
-blocking: suffixes of tokens (and of reversed tokens, that is prefixes) about half a token long are indexed, and a key
-that is too common is kept only together with another part of the name.
+blocking: suffixes of tokens (and of reversed tokens, that is prefixes) from half a token to the whole are indexed, and a
+key that is too common is kept only together with another part of the name.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ NICKNAMES = {
 # Spellings of one sound, in the order they are rewritten.
 SOUNDS = (("ph", "f"), ("qu", "k"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z", "s"), ("y", "i"), ("j", "i"), ("x", "ks"))
 
-#: A key held by more index names than this is kept only with the initial, beyond the second number with the class, of another token.
+#: A key held by more index names than this is kept only with an outer part, beyond the second number with the class or half, of another token.
 COMMON, VERY_COMMON = 5, 60
 #: A text of more words is no name: it has no keys and is linked to none.
 MOST_TOKENS = 15
@@ -221,15 +221,15 @@ class Names:
         spans = [(i, i + 1, t) for i, t in enumerate(tokens)] + [(i, i + 2, tokens[i] + tokens[i + 1]) for i in range(len(tokens) - 1)]
         out: dict[str, set[str]] = defaultdict(set)
         for i, j, token in spans:
-            others = {self.class_of(t) for k, t in enumerate(tokens) if not i <= k < j and (t not in PARTICLES or t in self.classes)}
+            rest = [t for k, t in enumerate(tokens) if not i <= k < j and (t not in PARTICLES or t in self.classes)]
+            others = {self.class_of(t) for t in rest} | {t[0] for t in rest if t in self.classes}  # a nickname also goes by its own initial
             size = len(token)
             if size < 4 or token in self.classes or not others:
                 continue
             s = sound(token)
-            for n in (len(s) // 2, len(s) // 2 + 1):
-                if n >= 3:
-                    out["<" + s[:n]] |= others
-                    out[">" + s[-n:]] |= others
+            for n in range(max(3, len(s) // 2), len(s) + 1):  # the longer ones refine those that are common
+                out["<" + s[:n]] |= others
+                out[">" + s[-n:]] |= others
             if j == i + 1 and size >= 5:
                 for o in others:
                     if len(o) > 1:
@@ -270,27 +270,48 @@ def keyed(names: DataFrame, short: Mapping[str, Iterable[str]]) -> DataFrame:
     return names.select("name").mapInPandas(each, "name string, key string, others array<string>")
 
 
+def refining(level: int, asked: bool) -> Column:
+    """Parts of the other tokens by which a common key is refined: names agree if they share one.
+
+    Level 1 takes the initial and the last two letters of a class; level 2 the class and its halves, and lets an initial
+    of either side stand for every class it begins on the other.
+    """
+
+    def of(o: Column) -> Column:
+        first, size = F.substring(o, 1, 1), F.length(o)
+        if level == 1:
+            return F.array(first, F.concat(F.lit(">"), F.right(o, F.lit(2))))
+        mine, its = ("?", "!") if asked else ("!", "?")
+        halves = F.filter(F.array(F.floor(size / 2), F.floor(size / 2) + 1), lambda n: n >= 3)
+        pieces = F.transform(halves, lambda n: F.array(F.concat(F.lit("<"), F.left(o, n)), F.concat(F.lit(">"), F.right(o, n))))
+        whole = F.concat(F.array(F.concat(F.lit("="), o), F.concat(F.lit(its), first)), F.flatten(pieces))
+        return F.when(size == 1, F.array(F.concat(F.lit("="), o), F.concat(F.lit(mine), o))).otherwise(whole)
+
+    return F.array_distinct(F.flatten(F.transform("others", of)))
+
+
 def paired(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """``ask``, ``name`` and ``held``, the index names of the key, for every key that two ``keyed`` names share.
+    """``ask``, ``name``, ``kind`` of key and ``held``, the index names of the key, for every key that two ``keyed`` names share.
 
-    A key held by few index names pairs by itself; a more common one only where another token's initial, and a very common
-    one where another token's class, agrees too. No pair beyond that is dropped.
+    A key held by few index names pairs by itself; a more common one only where another token's initial or ending, and a
+    very common one where another token's class, half or initial agrees too (``refining``). Of a pair dropped there, a longer
+    part of the token may still agree, which is another key.
     """
     left, right = asked, index
     out = None
     for level, most in enumerate((COMMON, VERY_COMMON, None)):
         if level:
-            part = F.explode(F.array_distinct(F.transform("others", lambda o: F.substring(o, 1, 1) if level == 1 else o)))  # noqa: B023
-            base = F.col("key") if level == 1 else F.regexp_replace("key", r"\|.$", "")
+            base = F.col("key") if level == 1 else F.regexp_replace("key", r"\|[^|]*$", "")
             left, right = (
-                side.select("name", "others", base.alias("base"), part.alias("part")).select("name", "others", F.concat_ws("|", "base", "part").alias("key"))
+                side.select("name", "others", base.alias("base")).distinct().select("name", "others", "base", F.explode(refining(level, side is left)).alias("part"))
+                .select("name", "others", F.concat_ws("|", "base", "part").alias("key"))
                 for side in (left, right)
-            )
+            )
             left, right = left.distinct(), right.distinct()
         held = right.groupBy("key").agg(F.count("*").alias("held"))
         few = held if most is None else held.filter(F.col("held") <= most)
         pairs = left.join(right.join(few, "key").select("key", "held", F.col("name").alias("found")), "key")
-        pairs = pairs.select(F.col("name").alias("ask"), F.col("found").alias("name"), "held")
+        pairs = pairs.select(F.col("name").alias("ask"), F.col("found").alias("name"), F.left("key", F.lit(1)).alias("kind"), "held")
         out = pairs if out is None else out.unionByName(pairs)
         if most is not None:
             many = held.filter(F.col("held") > most).select("key")
