@@ -188,8 +188,16 @@ class Names:
         loose = len(rest_a) + len(rest_b) - len(real_a) - len(real_b)
         return 0.65 * surname[0] + 0.35 * given - 0.02 * (len(real_a) + len(real_b)) - 0.005 * loose - apart
 
-    def _longest(self, tokens: list[str]) -> str:
-        return max((t for t in tokens if len(t) >= 4 and t not in self.classes and t not in PARTICLES), key=len, default="")
+    def _hope(self, x: list[str], y: list[str]) -> bool:
+        """Whether ``_score`` can be above 0: some pair that agrees must be as long as the longest part of both names, which
+        stands alone otherwise. Nicknames may agree with misspelt names that they stand for, whatever their letters."""
+        longest = max((len(t) for t in (*x, *y) if t not in PARTICLES), default=0)
+        for s in x:
+            for t in y:
+                if max(len(s), len(t)) >= longest and (len(s) == 1 or len(t) == 1 or s in self.of or t in self.of or may_agree(s, t, TOKEN)) and self._alike(s, t) >= TOKEN:
+                    return True
+        # two letters may stand for two parts, however long
+        return any(len(t) == 2 and {*t} <= {o[0] for o in other} for one, other in ((x, y), (y, x)) for t in one)
 
     def score(self, a: str, b: str) -> float:
         """Agreement of two names, 0 to 1; tokens are separated by spaces. Empty names agree with none."""
@@ -198,13 +206,7 @@ class Names:
             return 0.0
         if sorted(x) == sorted(y) and len(x) > 1:
             return 1.0
-        # the longest part of either name must find its like in the other, unless parts are split or joined
-        hope = all(
-            any((len(t) == 1 or may_agree(longest, t, TOKEN)) and self._alike(longest, t) >= TOKEN for t in other)
-            for longest, other in ((self._longest(x), y), (self._longest(y), x))
-            if longest
-        )
-        best = self._score(x, y) if hope else 0.0
+        best = self._score(x, y) if self._hope(x, y) else 0.0
         if best < 0.93:  # a token may be split in two, or two joined
             for one, other in ((x, y), (y, x)):
                 for i in range(len(one) - 1):
