@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 
 from turfline.llm.leakage import decontaminate, leaked_spans, leaks
-from turfline.llm.truncation import ending, kinds, lengths, repaired, truncated
+from turfline.llm.truncation import common_signatures, ending, kinds, lengths, repaired, truncated
 
 DOCS = "doc_id bigint, text string, source string, at int, key string, item_id int"
 ITEMS = "item_id int, text string, w string"
@@ -112,3 +112,15 @@ def test_limits_and_cuts(spark):
     assert ("wire", 0, 300) in hard and not any(s == "post" for s, *_ in hard)
     nothing, none = truncated(df.limit(0))
     assert nothing.count() == none.count() == 0
+
+
+def test_cut_beginnings_are_no_signatures(spark):
+    docs = [(i, f"The team ran for {i} minutes.\nThe coach adv", "post", 0, "k", 0) for i in range(6)]
+    docs += [(100 + i, f"The team sat for {i} minutes.\nThe coach advised {i} of them.", "post", 0, "k", 0) for i in range(40)]
+    docs += [(200 + i, f"The team won after {i} minutes.\nDesk north", "post", 0, "k", 0) for i in range(6)]
+    docs += [(300 + i, "The team won at last.\nNobody kn", "post", 0, "k", 0) for i in range(6)]  # one text posted again
+    df = spark.createDataFrame(docs, DOCS)
+    assert [r["line"] for r in common_signatures(df).collect()] == ["Desk north"]
+    assert common_signatures(df.limit(0)).count() == 0
+    judged, _ = truncated(df)
+    assert {r["doc_id"] for r in judged.filter("cut").collect()} == {*range(6), *range(300, 306)}

@@ -15,7 +15,7 @@ from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.llm.mixing import source_key
@@ -37,6 +37,7 @@ DOTS = re.compile(r"(?:\.\.\.+|…)\s*$")
 BROKEN = re.compile(r"(?:&(?:#?\w{0,8})|�+|\\u?[0-9a-fA-F]{0,3}|</?[a-zA-Z][^<>]{0,30}|<)$")
 HANGING = re.compile(r"[,;:(«/\\&·–—-]$")
 ORNAMENT = re.compile(r"(?:\[\w+\]|#\w+|\s[:;][-']?[)(DP]|[^\w\s.,;:!?…'\"”’»«()\[\]/\\&%+=<>@#*$€£°·–—�-])\s*$")
+SIGNED = r"^\s*(?:--|—|–|\(.*\)\s*$|\[.*\]\s*$|#\w+\s*$)"
 MOJIBAKE = re.compile(r"[Â-Å][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
 
@@ -87,7 +88,7 @@ def contexts(classes: list[str], words: list[str], i: int) -> list[str]:
 
 def signature(line: str) -> bool:
     """Whether a last line by itself is a signature: dashed, bracketed or a hash tag."""
-    return bool(re.match(r"\s*(?:--|—|–|\(.*\)\s*$|\[.*\]\s*$|#\w+\s*$)", line))
+    return bool(re.match(SIGNED, line))
 
 
 def ending(text: str, signatures: frozenset[str]) -> tuple[str, str]:
@@ -111,12 +112,29 @@ def ending(text: str, signatures: frozenset[str]) -> tuple[str, str]:
     return ("broken" if kind != "closed" and HANGING.search(body[-2:]) else kind), body
 
 
-def common_signatures(documents: DataFrame, text: str = "text", least: int = 5, most: int = 10_000) -> frozenset[str]:
-    """Short last lines that stand without closing mark below a closed text in ``least`` or more documents; at most ``most``, the most frequent."""
-    line = F.trim(F.regexp_extract(F.rtrim(F.col(text)), r"[.!?…]\s*\n([^\n]{1,40})$", 1))
-    lines = documents.select(line.alias("line")).filter("line <> ''").filter(~F.col("line").rlike(r"[.!?…]$"))
-    rows = lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "line").limit(most).collect()
-    return frozenset(r["line"] for r in rows)
+def last_line(text: str) -> Column:
+    """A short last line without closing mark below a closed text; else empty."""
+    return F.trim(F.regexp_extract(F.rtrim(F.col(text)), r"[.!?…]\s*\n([^\n]{1,40})$", 1))
+
+
+def common_signatures(documents: DataFrame, text: str = "text", least: int = 5) -> DataFrame:
+    """``line``: short last lines that stand without closing mark below ``least`` or more different paragraphs, and seldom
+    (``BEYOND``) begin a longer line of the corpus, as the first words of a paragraph do that was cut."""
+    above = F.xxhash64(F.regexp_extract(F.rtrim(F.col(text)), r"([^\n]*[.!?…])\s*\n[^\n]{1,40}$", 1))
+    lines = documents.select(last_line(text).alias("line"), above.alias("above")).filter("line <> ''").filter(~F.col("line").rlike(r"[.!?…]$"))
+    lines = cut(lines.groupBy("line").agg(F.count_distinct("above").alias("n")).filter(F.col("n") >= least).filter(~F.col("line").rlike(SIGNED)))
+    sizes = [r[0] for r in lines.select(F.length("line")).distinct().collect()]  # at most 40
+    each = documents.select(F.explode(F.split(text, "\n")).alias("l")).select(F.regexp_replace(F.trim("l"), r"[.!?…\s]+$", "").alias("l"))
+    heads = each.select(F.left("l", F.lit(41)).alias("l")).groupBy("l").agg(F.count("*").alias("m"))
+    heads = heads.select("l", "m", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size")).filter(F.length("l") > F.col("size"))
+    longer = heads.groupBy(F.expr("left(l, size)").alias("line")).agg(F.sum("m").alias("longer"))
+    return lines.join(longer, "line", "left").filter(F.coalesce("longer", F.lit(0)) <= BEYOND * F.col("n")).select("line")
+
+
+def with_signature(documents: DataFrame, signatures: DataFrame, text: str = "text") -> DataFrame:
+    """Documents and the ``signature`` that their text ends in, or null. Texts without such a line are spread over the join."""
+    key = F.when(last_line(text) != "", last_line(text)).otherwise(F.concat(F.lit("\n"), F.xxhash64(text).cast("string")))
+    return documents.withColumn("__line", key).join(signatures.select(F.col("line").alias("__line"), F.col("line").alias("signature")), "__line", "left").drop("__line")
 
 
 def lengths(text: str) -> list[int]:
@@ -130,14 +148,14 @@ def lengths(text: str) -> list[int]:
     return [size, utf8, size + wide, size + marks, size + escaped, size + escaped + 5 * foreign + 6 * wide, size + lines, utf8 + lines]
 
 
-def examined(documents: DataFrame, signatures: frozenset[str], doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: ``doc``, ``source`` key, ``state`` of its ending, ``lens`` under the encodings, ``keys`` of its last words."""
+def examined(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Per document ``with_signature``: ``doc``, ``source`` key, ``state`` of its ending, ``lens`` under the encodings, ``keys`` of its last words."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             states, lens, keys, last = [], [], [], []
-            for t in batch["t"]:
-                state, body = ending(t or "", signatures)
+            for t, own in zip(batch["t"], batch["signature"], strict=True):
+                state, body = ending(t or "", frozenset({own}))
                 classes, words, _ = kinds(body[-200:]) if state in ("open", "ellipsis") else ([], [], [])
                 if state in ("open", "ellipsis") and not words:
                     state = "none"
@@ -150,11 +168,11 @@ def examined(documents: DataFrame, signatures: frozenset[str], doc: str = "doc_i
             yield pd.DataFrame({"doc": batch["doc"], "source": batch["source"], "state": states, "lens": lens, "keys": keys, "last": last})
 
     kind = dict(documents.dtypes)[doc]
-    rows = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), F.col(text).alias("t"))
+    rows = documents.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), F.col(text).alias("t"), "signature")
     return rows.mapInPandas(look, f"doc {kind}, source string, state string, lens array<int>, keys array<struct<o:string,key:string>>, last string")
 
 
-def sentence_ends(documents: DataFrame, signatures: frozenset[str], text: str = "text") -> DataFrame:
+def sentence_ends(documents: DataFrame, text: str = "text") -> DataFrame:
     """``key``, ``n``, ``ends``: how often contexts of one to three words occur in the corpus, and how often a sentence ends there.
 
     The last word of a text without closing mark isn't counted. Counts are summed per batch of a task before the shuffle.
@@ -164,8 +182,8 @@ def sentence_ends(documents: DataFrame, signatures: frozenset[str], text: str =
         n: Counter = Counter()
         e: Counter = Counter()
         for batch in batches:
-            for t in batch["t"]:
-                state, _ = ending(t or "", signatures)
+            for t, own in zip(batch["t"], batch["signature"], strict=True):
+                state, _ = ending(t or "", frozenset({own}))
                 classes, words, ends = kinds(repaired(t or ""))
                 stop = len(words) - (state in ("open", "ellipsis", "broken"))
                 keys = [contexts(classes, words, i) for i in range(stop)]
@@ -177,7 +195,7 @@ def sentence_ends(documents: DataFrame, signatures: frozenset[str], text: str =
                 e.clear()
         yield pd.DataFrame([(k, c, e[k]) for k, c in n.items()], columns=["key", "n", "ends"])
 
-    rows = documents.select(F.col(text).alias("t")).mapInPandas(count, "key string, n long, ends long")
+    rows = documents.select(F.col(text).alias("t"), "signature").mapInPandas(count, "key string, n long, ends long")
     return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
@@ -215,9 +233,9 @@ def truncated(documents: DataFrame, doc: str = "doc_id", text: str = "text", sou
     don't end. Null and empty texts aren't cut; rows with a null id are left out; repeated rows are judged alike, and ids
     must be unique otherwise; null sources are one source.
     """
-    signatures = common_signatures(documents, text)
-    seen = cut(examined(documents, signatures, doc, text, source))
-    corpus = cut(sentence_ends(documents, signatures, text))
+    documents = with_signature(documents.select(doc, text, source), cut(common_signatures(documents, text)), text)
+    seen = cut(examined(documents, doc, text, source))
+    corpus = cut(sentence_ends(documents, text))
     found = cut(limits(seen))
     # whether a capitalised word that is seen nowhere else has the ending of a whole one
     whole = corpus.filter(F.col("key").rlike(r"^w \p{Lu}") & (F.col("n") >= 2)).select(F.expr("substring(key, 3)").alias("w")).filter("length(w) >= 6")
