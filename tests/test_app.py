@@ -49,6 +49,13 @@ def test_identity_edges(spark):
     assert [(r["player_id"], r["score"]) for r in blocked] == [(2, 1.0)]
 
 
+@pytest.mark.parametrize("limit", ["BROADCAST_NAMES", "TASK_PAIRS", "EXHAUSTIVE_PAIRS"])
+def test_identity_compares_all_at_any_size(spark, monkeypatch, limit):
+    monkeypatch.setattr(identity, limit, 1, raising=False)
+    r = resolve(spark, "Lionle Mesi Cucitini Andrs")  # misspelt in every token
+    assert r["outcome"] == "needs_review" and [c["playerId"] for c in r["candidates"]][0] == 2 and len(r["candidates"]) == len(KNOWN)
+
+
 def test_lcs_against_brute_force(spark):
     pairs = [("abcbdab", "bdcaba", 4), ("", "a", 0), ("k.", "kylian", 1), ("aaaa", "aa", 2), ("kitten", "sitting", 4)]
     df = spark.createDataFrame(pairs, "a string, b string, n int")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from turfline.functions.text import normalize_name
 from turfline.registry import AUTO_SCORE, NATIONALITY_PENALTY, REVIEW_SCORE
 
-#: Most candidate names that are broadcast, and most pairs of names compared exhaustively; more are joined by shared tokens.
-BROADCAST_NAMES, EXHAUSTIVE_PAIRS = 50_000, 5_000_000
+#: Most candidate names that are broadcast, and pairs of names that a task compares.
+BROADCAST_NAMES, TASK_PAIRS = 50_000, 1_000_000
 
 
 def lcs(a: Column, b: Column) -> Column:
@@ -54,22 +54,24 @@ def pair_score(name_score: Column, birth: Column, other_birth: Column, nations:
     return F.when(F.coalesce(birth != other_birth, F.lit(False)), 0.0).otherwise(name_score * penalty)
 
 
-def scored_pairs(queries: DataFrame, candidates: DataFrame, exhaustive: bool | None = None) -> DataFrame:
+def scored_pairs(queries: DataFrame, candidates: DataFrame, exhaustive: bool = True) -> DataFrame:
     """``query_id``, ``player_id``, ``score`` of queries (query_id, raw_name, birth_date, nationality) and candidates
     (player_id, normalized_name, birth_date, nationality).
 
-    Every candidate is compared with every query where names are few enough (their number is checked); beyond that
-    candidates must share a token with the query, so that a name misspelt in every token finds nobody. Distinct pairs of
-    names are scored once.
+    Every candidate is compared with every query, whatever the size, so that the best five are those of all candidates: no
+    key keeps all pairs of the review score. ``exhaustive=False`` compares only names that share a whole token, by which a
+    name misspelt in every token finds nobody. Distinct pairs of names are scored once.
     """
     q = queries.select("query_id", normalize_name(F.col("raw_name")).alias("q_name"), F.col("birth_date").alias("q_birth"), F.col("nationality").alias("q_nations"))
     c = candidates.select("player_id", F.col("normalized_name").alias("c_name"), F.col("birth_date").alias("c_birth"), F.col("nationality").alias("c_nations"))
     names, others = q.select("q_name").distinct(), c.select("c_name").distinct()
-    if exhaustive is None:
-        few = others.limit(BROADCAST_NAMES + 1).count()
-        exhaustive = few <= BROADCAST_NAMES and few * names.limit(EXHAUSTIVE_PAIRS + 1).count() <= EXHAUSTIVE_PAIRS
     if exhaustive:
-        pairs = names.crossJoin(F.broadcast(others))
+        asked, known = names.count(), others.count()
+        if known <= BROADCAST_NAMES:
+            pairs = names.repartition(min(max(asked, 1), asked * known // TASK_PAIRS + 1)).crossJoin(F.broadcast(others))
+        else:
+            side = int(TASK_PAIRS**0.5)
+            pairs = names.repartition(asked // side + 1).crossJoin(others.repartition(known // side + 1))
     else:
         token = lambda n: F.explode(F.array_distinct(F.split(n, r"\s+"))).alias("t")
         pairs = names.select("q_name", token("q_name")).join(others.select("c_name", token("c_name")), "t").select("q_name", "c_name").distinct()

@@ -77,7 +77,7 @@ class Resolution(NamedTuple):
     queue: DataFrame
 
 
-def resolve(records: DataFrame, players: DataFrame, aliases: DataFrame, queue: DataFrame, now: Column, exhaustive: bool | None = None) -> Resolution:
+def resolve(records: DataFrame, players: DataFrame, aliases: DataFrame, queue: DataFrame, now: Column, exhaustive: bool = True) -> Resolution:
     """Records (source, source_id, raw_name, birth_date, nationality, raw_payload) against players as they are at the start.
 
     A known (source, source_id) comes first. Others are scored against all players: resolved ones get an alias with their
