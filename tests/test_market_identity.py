@@ -1,0 +1,53 @@
+from turfline.plans import identity_queries
+
+from .support import DATA
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def like(a, b):
+    return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    shared = " ".join(sorted(x & y))
+    p, q = (" ".join(sorted(s)) for s in (x - y, y - x))
+    if shared and (not p or not q):
+        return 1.0
+    whole = [f"{shared} {r}".strip() for r in (p, q)]
+    return max(like(*whole), *(like(shared, w) for w in whole)) if shared else like(*whole)
+
+
+def pair_score(q, c):
+    if q["birth_date"] and c["birth_date"] and q["birth_date"] != c["birth_date"]:
+        return 0.0
+    apart = q["nationality"] and c["nationality"] and not set(q["nationality"]) & set(c["nationality"])
+    return token_set(q["name"], c["normalized_name"]) * (0.5 if apart else 1.0)
+
+
+def test_market_records_against_all_players(spark):
+    from turfline.functions.text import normalize_name
+
+    queries, players = identity_queries._market(spark, DATA)
+    queries = [r.asDict() for r in queries.withColumn("name", normalize_name(queries["raw_name"])).collect()]
+    players = [r.asDict() for r in players.collect()]
+    best = {q["query_id"]: sorted((-round(pair_score(q, c), 6) for c in players))[:5] for q in queries}
+    top = {}
+    for r in identity_queries.market_top5(spark, DATA).collect():
+        top.setdefault(r["query_id"], []).append(-r["score"])
+    assert {k: (sorted(v), best[k]) for k, v in top.items() if sorted(v) != best[k]} == {} and len(top) == len(best) and len(players) > 40
+    got = {r["query_id"]: r["outcome"] for r in identity_queries.market_outcomes(spark, DATA).collect()}
+    assert got == {k: "auto_resolved" if v[0] <= -0.92 else "needs_review" if v[0] <= -0.6 else "new" for k, v in best.items()}
+    review = identity_queries.market_review(spark, DATA)
+    assert {r["query_id"] for r in review.collect()} == {k for k, v in got.items() if v == "needs_review"}
