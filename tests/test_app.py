@@ -1,66 +1,16 @@
+import json
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from turfline.functions.scalars import looked_up
-from turfline.functions.text import normalize_name
-from turfline.operators import identity, merge, search
-from turfline.registry import MARKET_POSITIONS, by_label
+from turfline.functions.scalars import french_date, labelled, looked_up, millions, percent
+from turfline.operators import merge, search
+from turfline.operators.jobs import market_records
+from turfline.registry import MARKET_POSITIONS, STATUS_LABELS
 from turfline.schema import TABLES, violations
 from turfline.sources import files
-
-KNOWN = [(1, "Kylian Mbappé Lottin", date(1998, 12, 20), ["France"]), (2, "Lionel Andrés Messi Cuccittini", date(1987, 6, 24), ["Argentina"]), (3, "Neymar da Silva Santos Júnior", date(1992, 2, 5), ["Brazil"]), (4, "Kevin De Bruyne", None, ["Belgium"])]
-
-
-def resolve(spark, raw, born=None, nations=None, known=KNOWN):
-    c = spark.createDataFrame(known, "player_id int, n string, birth_date date, nationality array<string>").select("player_id", normalize_name(F.col("n")).alias("normalized_name"), "birth_date", "nationality")
-    q = spark.createDataFrame([(9, raw, born, nations)], "query_id int, raw_name string, birth_date date, nationality array<string>")
-    return identity.outcomes(q, identity.scored_pairs(q, c)).first()
-
-
-@pytest.mark.parametrize(
-    ("raw", "born", "outcome", "player"),
-    [
-        ("Kylian Mbappé Lottin", date(1998, 12, 20), "auto_resolved", 1), ("Neymar", None, "auto_resolved", 3), ("Lionel Messi", None, "auto_resolved", 2),
-        ("Kevin  De Bruyne", None, "auto_resolved", 4), ("K. Mbappé", None, "needs_review", None), ("Karim Benzema", None, "new", None),
-        ("Kylian Mbappé Lottin", date(1990, 1, 1), "new", None), ("", None, "new", None),
-    ],
-)
-def test_identity(spark, raw, born, outcome, player):
-    r = resolve(spark, raw, born)
-    assert (r["outcome"], r["player_id"]) == (outcome, player)
-    if raw == "K. Mbappé":
-        assert r["candidates"][0]["playerId"] == 1 and r["candidates"][0]["score"] == pytest.approx(0.8)
-
-
-def test_identity_edges(spark):
-    assert 0 < resolve(spark, "Neymar", None, ["Spain"])["candidates"][0]["score"] < 1
-    none = resolve(spark, "Neymar", known=[(1, "x", None, None)])
-    assert none["outcome"] == "new"
-    empty = spark.createDataFrame([], "query_id int, player_id int, score double")
-    q = spark.createDataFrame([(1,)], "query_id int")
-    assert identity.outcomes(q, empty).first().asDict() == {"query_id": 1, "outcome": "new", "player_id": None, "confidence": None, "candidates": []}
-    blocked = identity.scored_pairs(
-        spark.createDataFrame([(1, "Lionel Messi", None, None)], "query_id int, raw_name string, birth_date date, nationality array<string>"),
-        spark.createDataFrame([(2, "messi", None, None), (3, "neymar", None, None)], "player_id int, normalized_name string, birth_date date, nationality array<string>"),
-        exhaustive=False,
-    ).collect()
-    assert [(r["player_id"], r["score"]) for r in blocked] == [(2, 1.0)]
-
-
-@pytest.mark.parametrize("limit", ["BROADCAST_NAMES", "TASK_PAIRS", "EXHAUSTIVE_PAIRS"])
-def test_identity_compares_all_at_any_size(spark, monkeypatch, limit):
-    monkeypatch.setattr(identity, limit, 1, raising=False)
-    r = resolve(spark, "Lionle Mesi Cucitini Andrs")  # misspelt in every token
-    assert r["outcome"] == "needs_review" and [c["playerId"] for c in r["candidates"]][0] == 2 and len(r["candidates"]) == len(KNOWN)
-
-
-def test_lcs_against_brute_force(spark):
-    pairs = [("abcbdab", "bdcaba", 4), ("", "a", 0), ("k.", "kylian", 1), ("aaaa", "aa", 2), ("kitten", "sitting", 4)]
-    df = spark.createDataFrame(pairs, "a string, b string, n int")
-    assert all(r["x"] == r["n"] for r in df.select("n", identity.lcs(F.col("a"), F.col("b")).alias("x")).collect())
-
+from turfline.sources.store import Store, replace_percentiles, replace_vectors
 
 def test_filters_parse():
     f = search.Filters.parse({"positions": "W,ST,XX,GK", "foot": "gauche", "ageMax": "23x", "minutesMin": "0", "tier": "", "metric": ["xg", "y"], "percentileMin": 80})
@@ -94,27 +44,38 @@ def test_new_ids_follow_the_old(spark):
     assert sorted((r["name"], r["id"]) for r in out) == [("a", 8), ("b", 9), ("c", 10)]
 
 
-def test_replace_and_log(spark, tmp_path):
-    path = str(tmp_path / "t")
-    merge.replace_table(spark.range(3), path)
-    merge.replace_table(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 2
-    log = str(tmp_path / "log")
-    assert merge.logged_run(spark, log, "manual", "all", lambda: 5) == 5
+def test_store_replaces_tables_together(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "w"))
+    store.commit({"a": spark.range(3), "b": spark.range(4)})
+    with pytest.raises(Exception, match="boom"):
+        store.commit({"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("boom")).alias("id"))})
+    assert (store.read("a").count(), store.read("b").count()) == (3, 4)
+    store.commit({"a": store.read("a").unionByName(spark.range(5))})  # a table may be made from itself
+    assert (store.read("a").count(), store.read("b").count()) == (8, 4)
+    assert len(list((tmp_path / "w" / "a").iterdir())) == 1
+    replace_percentiles(store, spark.range(2), spark.createDataFrame([("2022", 1)], "season string, player_id int"))
+    replace_vectors(store, spark.range(6))
+    assert (store.read("peer_groups").count(), store.read("player_percentiles").count(), store.read("player_vectors").count()) == (2, 1, 6)
+
+
+def test_runs_are_logged(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "w"))
+    assert store.run("manual", "all", lambda: ({"a": spark.range(2)}, 2)) == 2
     with pytest.raises(ZeroDivisionError):
-        merge.logged_run(spark, log, "manual", "all", lambda: 1 // 0)
-    assert sorted((r["status"], r["rows_written"]) for r in spark.read.parquet(log).collect()) == [("failed", None), ("success", 5)]
+        store.run("manual", "all", lambda: ({"a": spark.range(1 // 0)}, 0))
+    assert sorted((r["status"], r["rows_written"]) for r in store.runs().collect()) == [("failed", None), ("success", 2)]
+    assert store.read("a").count() == 2
 
 
 def test_csv_contract(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         files.read_market_clubs(spark, str(tmp_path / "none"))
-    (tmp_path / "clubs.csv").write_text("club_id,name\n583,Paris\n")
+    (tmp_path / "clubs.csv").write_text("club_id,name\n41,Testella\n")
     with pytest.raises(ValueError, match="domestic_competition_id"):
         files.read_market_clubs(spark, str(tmp_path))
-    (tmp_path / "clubs.csv").write_text("name,club_id,domestic_competition_id,more\nParis,583,FR1,x\nLyon,none,FR1,x\n")
+    (tmp_path / "clubs.csv").write_text("name,club_id,domestic_competition_id,more\nTestella,41,T1,x\nMontvale,none,T1,x\n")
     rows = files.read_market_clubs(spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in rows] == [(583, "Paris", "FR1"), (None, "Lyon", "FR1")]
+    assert [tuple(r) for r in rows] == [(41, "Testella", "T1"), (None, "Montvale", "T1")]
 
 
 def test_json_reader_fills_absent_columns(spark, tmp_path):
@@ -126,7 +87,7 @@ def test_json_reader_fills_absent_columns(spark, tmp_path):
 def test_unknown_labels_are_errors(spark):
     df = spark.createDataFrame([("Sweeper",)], "p string")
     with pytest.raises(Exception, match="unknown sub_position: Sweeper"):
-        df.select(looked_up(F.col("p"), by_label(MARKET_POSITIONS), "sub_position")).collect()
+        df.select(looked_up(F.col("p"), MARKET_POSITIONS, "sub_position")).collect()
 
 
 def test_violations(spark):
@@ -134,3 +95,57 @@ def test_violations(spark):
     players = spark.createDataFrame([(5,)], "id int")
     got = {r["rule"]: r["n"] for r in violations("scout_notes", rows, {"players": players}).collect()}
     assert got == {"key": 2, "parent of player_id": 1, "values": 1}
+
+
+STINT = {"position": "Left Wing", "from": "00:00", "to": None, "from_period": 1, "to_period": None}
+
+
+def test_match_readers(spark, tmp_path):
+    (tmp_path / "matches.json").write_text(json.dumps([{"match_id": 5, "competition_id": 2, "season": "2030", "home_team": "H", "home_team_id": 1, "unknown": 3}, {"match_id": 6}]))
+    rows = {r["match_id"]: r for r in files.read_matches(spark, str(tmp_path / "matches.json")).collect()}
+    assert (rows[5]["home_team_id"], rows[5]["away_team"], rows[6]["season"]) == (1, None, None)
+    (tmp_path / "5.json").write_text(json.dumps([{"player_id": 9, "player_name": "A", "positions": [STINT], "__team": "H"}, {"player_id": 8, "positions": [], "__team": "H"}]))
+    lines = {r["player_id"]: r for r in files.read_lineups(spark, str(tmp_path / "5.json")).collect()}
+    assert (lines[9]["match_id"], lines[9]["team"], lines[9]["positions"][0]["from_period"], lines[8]["positions"]) == (5, "H", 1, [])
+
+
+def test_market_reader(spark, tmp_path):
+    header = "player_id,name,date_of_birth,country_of_citizenship,sub_position,foot,height_in_cm,contract_expiration_date,market_value_in_eur,current_club_id"
+    (tmp_path / "players.csv").write_text(f'{header}\n7,"Quaye, Tamsin",2000-01-02,,Left Winger,left,,soon,1500000.0,41\n')
+    r = files.read_market_players(spark, str(tmp_path)).first()
+    assert (r["name"], r["country_of_citizenship"], r["height_in_cm"], r["market_value_in_eur"], r["current_club_id"]) == ("Quaye, Tamsin", None, None, 1.5e6, 41)
+    record = market_records(files.read_market_players(spark, str(tmp_path))).first()
+    assert (record["source_id"], record["birth_date"], record["nationality"], record["position_group"], record["contract_until"], record["market_value_eur"]) == ("7", date(2000, 1, 2), [], "W", None, 1_500_000)
+
+
+def test_season_stat_tables(spark):
+    one = spark.createDataFrame([("L", "S", "T", "P", 90.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 5)], files.STANDARD + ", more int")
+    two = spark.createDataFrame([("L", "S", "T", "Q", 1.0, 1.0, 0.1, 0.1)], files.SHOOTING)
+    r = files.season_stats(one, two).first()
+    assert (r["player"], r["perf_gls"], r["std_sh"]) == ("P", 1.0, None)
+    with pytest.raises(ValueError, match="exp_npxg"):
+        files.season_stats(one, two.drop("exp_npxg"))
+
+
+def test_cached_or_fetched(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return [{"match_id": 5, "season": "2030"}]
+
+    for _ in range(2):
+        assert files.cached_json(spark, str(tmp_path / "raw" / "m.json"), fetch, files.MATCHES).first()["season"] == "2030"
+    assert len(calls) == 1
+
+
+def test_shown_values(spark):
+    row = spark.createDataFrame([(250_000, 0.125, datetime(2031, 2, 1), "observe", None)], "v bigint, s double, d timestamp, t string, n bigint")
+    got = row.select(millions(F.col("v")), millions(F.col("n")), millions(-F.col("v")), percent(F.col("s")), french_date(F.col("d")), labelled(F.col("t"), STATUS_LABELS), labelled(F.lit("new"), STATUS_LABELS)).first()
+    assert tuple(got) == ("0.3 M€", None, "-0.3 M€", "13 %", "01/02/2031", "Observé", "new")
+
+
+def test_criteria_survive_storage():
+    f = search.Filters(positions=("W", "ST"), foot="left", age_min=0, contract_before="2030-01-01", metric="xg", percentile_min=60)
+    assert search.Filters.parse(json.loads(f.to_json())) == f
+    assert search.Filters.parse(json.loads(search.Filters().to_json())) == search.Filters()

@@ -1,10 +1,10 @@
 import pytest
 
-from turfline.plans import app_queries, interval_queries, metric_queries
+from turfline.plans import app_queries, identity_queries, interval_queries, job_queries, metric_queries
 
 from .support import DATA, check_oracle
 
-MODULES = [metric_queries, app_queries, interval_queries]
+MODULES = [metric_queries, app_queries, interval_queries, identity_queries, job_queries]
 ORACLES = {name: (m.QUERIES[name], sql) for m in MODULES for name, sql in m.ORACLES.items()}
 
 

@@ -95,3 +95,25 @@ def merged_maps(old: Column, new: Column) -> Column:
     empty = F.create_map().cast("map<string,string>")
     before, after = F.coalesce(old, empty), F.coalesce(new, empty)
     return F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key(after, k)), after)
+
+
+def millions(value: Column) -> Column:
+    """A whole number of euros in millions with one digit, halves up: ``0.3 M€``; null stays null."""
+    tenths = F.floor((F.abs(value) + 50_000) / 100_000)
+    sign = F.when((value < 0) & (tenths > 0), "-").otherwise("")
+    return F.when(value.isNotNull(), F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" M€")))
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole percentage, halves up: ``80 %``; null stays null."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit(" %"))
+
+
+def french_date(day: Column) -> Column:
+    """``dd/mm/yyyy``; null stays null."""
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def labelled(value: Column, labels: Mapping[str, str]) -> Column:
+    """The label of a value; a value without one stays itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[value], value)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfline.functions.scalars import clock_minutes, looked_up, safe_ratio
-from turfline.registry import LINEUP_POSITIONS, METRIC_KEYS, by_label
+from turfline.functions.text import normalize_name
+from turfline.registry import LINEUP_POSITIONS, METRIC_KEYS
 
 # Outcomes and cards as events name them.
 WON = ["Won", "Success In Play", "Success Out"]
@@ -49,13 +52,23 @@ def minutes_played(positions: Column, start: Column, end: Column, last: Column)
 
 
 def appearances(lineups: DataFrame, matches: DataFrame) -> DataFrame:
-    """Line-ups with ``minutes`` and ``position_group`` of the first stint; rows without positions or minutes are left out."""
-    clocks = matches.select("match_id", "season", "period_start", "period_end")
-    last = F.least(F.array_max(F.map_keys("period_end")), F.lit(4))
-    rows = lineups.join(clocks, "match_id").withColumn("minutes", minutes_played(F.col("positions"), F.col("period_start"), F.col("period_end"), last))
-    rows = rows.filter((F.col("minutes") > 0) & (F.size("positions") > 0))
-    group = looked_up(F.col("positions")[0]["position"], by_label(LINEUP_POSITIONS), "position")
-    return rows.select("match_id", "team", "player_id", "player_name", "country", "season", "minutes", group.alias("position_group"))
+    """Line-ups with ``minutes``, ``position`` of the first stint and its ``position_group``, ``team_id``, season and competition.
+
+    ``matches`` carries ``period_start`` and ``period_end`` (``period_clocks`` makes them from events). Rows without positions
+    or minutes are left out, a team that is neither side of its match has no id.
+    """
+    side = [c for c in ("home_team", "home_team_id", "away_team", "away_team_id", "competition_id") if c in matches.columns]
+    last = F.col("last_period") if "last_period" in matches.columns else F.least(F.array_max(F.map_keys("period_end")), F.lit(4))
+    clocks = matches.select("match_id", "season", "period_start", "period_end", last.alias("__last"), *side)
+    rows = lineups.join(clocks, "match_id").withColumn("minutes", minutes_played(F.col("positions"), F.col("period_start"), F.col("period_end"), F.col("__last")))
+    rows = rows.filter((F.col("minutes") > 0) & (F.size("positions") > 0)).withColumn("position", F.col("positions")[0]["position"])
+    known = {"home_team", "home_team_id", "away_team", "away_team_id"} <= set(side)
+    team = F.when(F.col("team") == F.col("home_team"), F.col("home_team_id")).when(F.col("team") == F.col("away_team"), F.col("away_team_id")) if known else F.lit(None).cast("int")
+    competition = F.col("competition_id") if "competition_id" in side else F.lit(None).cast("int")
+    group = looked_up(F.col("position"), LINEUP_POSITIONS, "position")
+    return rows.select(
+        "match_id", "team", team.alias("team_id"), "player_id", "player_name", "country", "season", competition.alias("competition_id"), "minutes", "position", group.alias("position_group")
+    )
 
 
 def event_counters(events: DataFrame) -> DataFrame:
@@ -104,38 +117,51 @@ def per90(totals: DataFrame, minutes: str = "minutes") -> DataFrame:
     return totals.filter(F.col(minutes) > 0).select(*others, *[metric[k].alias(k) for k in METRIC_KEYS])
 
 
-def season_totals(played: DataFrame, counters: DataFrame | None = None) -> DataFrame:
-    """Per player and season: minutes, matches, totals, first known name and country (in match order), most frequent position.
+def season_totals(played: DataFrame, counters: DataFrame | None = None, by: Sequence[str] = ("player_id", "season")) -> DataFrame:
+    """Per player and season: minutes, matches, totals, first known name and country (in match order), most frequent team and
+    position, and its group.
 
-    Players without events have zero totals. Of equally frequent positions the smallest is taken.
+    Players without events have zero totals. Of equally frequent teams and positions the smallest is taken.
     """
     rows = played if counters is None else played.join(counters, ["match_id", "player_id"], "left").fillna(0.0, COUNTERS)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("match_id", c)))
     sums = [] if counters is None else [F.sum(c).alias(c) for c in COUNTERS]
-    return rows.groupBy("player_id", "season").agg(
+    out = rows.groupBy(*by).agg(
         F.sum("minutes").alias("minutes"), F.countDistinct("match_id").alias("matches_played"), first("player_name").alias("player_name"),
-        first("country").alias("country"), F.mode("position_group", True).alias("position_group"), *sums,
+        first("country").alias("country"), F.mode("team_id", True).alias("team_id"), F.mode("position", True).alias("position"), *sums,
     )
+    return out.withColumn("position_group", looked_up(F.col("position"), LINEUP_POSITIONS, "position"))
+
+
+def with_clocks(matches: DataFrame, events: DataFrame) -> DataFrame:
+    """Matches with the ``period_clocks`` of their events; matches without events are left out."""
+    stored = [c for c in ("period_start", "period_end", "last_period") if c in matches.columns]
+    return matches.drop(*stored).join(period_clocks(events), "match_id")
 
 
 def competition_metrics(events: DataFrame, lineups: DataFrame, matches: DataFrame) -> DataFrame:
-    """Season metrics per player: line-ups, minutes and events of all matches; goalkeepers are left out."""
-    totals = season_totals(appearances(lineups, matches), event_counters(events))
+    """Season metrics per player, season and competition: clocks, minutes, counters and totals of all matches, by 90 minutes.
+
+    Matches that carry no ``period_start`` get their clocks from the events. Goalkeepers and players without minutes are left
+    out. Minutes stay unrounded.
+    """
+    clocked = matches if "period_start" in matches.columns else with_clocks(matches, events)
+    totals = season_totals(appearances(lineups, clocked), event_counters(events), ("player_id", "season", "competition_id"))
     return per90(totals.filter("position_group <> 'GK'"))
 
 
 def provider_metrics(stats: DataFrame) -> DataFrame:
-    """Season-stat rows to the 8 metrics they carry, by the provider's own 90-minute units.
+    """Season-stat rows to the 8 metrics they carry, by the provider's own 90-minute units, and their ``source_id``.
 
-    Rows without minutes are left out; missing cards count as 0; a ratio without denominator is 0, and without numerator null.
+    Rows without minutes are left out; missing counts are 0, and so is a ratio without denominator; without numerator it is null.
     """
     units = F.col("pt_90s")
-    rate = lambda c: F.try_divide(c, units)
-    return stats.filter(F.col("pt_min") > 0).select(
-        "league", "season", "team", "player", F.col("pt_min").cast("int").alias("minutes"), F.col("pt_mp").cast("smallint").alias("matches_played"),
-        rate(F.col("perf_gls")).alias("goals"), rate(F.col("perf_ast")).alias("assists"),
-        rate(F.coalesce(F.nanvl("perf_crdy", F.lit(None).cast("double")), F.lit(0.0))).alias("yellow_cards"),
-        rate(F.coalesce(F.nanvl("perf_crdr", F.lit(None).cast("double")), F.lit(0.0))).alias("red_cards"),
-        rate(F.col("std_sh")).alias("shots"), rate(F.col("exp_xg")).alias("xg"), rate(F.col("exp_npxg")).alias("npxg"),
-        safe_ratio(F.col("exp_xg"), F.col("std_sh")).alias("xg_per_shot"),
+    known = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    rate = lambda c: F.try_divide(F.coalesce(known(F.col(c)), F.lit(0.0)), units)
+    source_id = F.concat_ws("|", "league", "season", "team", normalize_name(F.col("player")))
+    return stats.filter((F.col("pt_min") > 0) & ~F.isnan("pt_min")).select(
+        "league", "season", "team", "player", source_id.alias("source_id"), F.col("pt_min").cast("int").alias("minutes"), known(F.col("pt_mp")).cast("smallint").alias("matches_played"),
+        rate("perf_gls").alias("goals"), rate("perf_ast").alias("assists"), rate("perf_crdy").alias("yellow_cards"), rate("perf_crdr").alias("red_cards"),
+        rate("std_sh").alias("shots"), rate("exp_xg").alias("xg"), rate("exp_npxg").alias("npxg"),
+        safe_ratio(known(F.col("exp_xg")), known(F.col("std_sh"))).alias("xg_per_shot"),
     )

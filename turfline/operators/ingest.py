@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.scalars import looked_up
-from turfline.functions.text import normalize_name
+from turfline.functions.text import fold, normalize_name
 from turfline.operators import identity
-from turfline.operators.merge import first_match, insert_missing, upsert, with_ids
+from turfline.operators.merge import first_match, insert_missing, once, upsert, with_ids
 from turfline.registry import LEAGUE_TIERS
 from turfline.schema import nineties
+from turfline.session import cut
 
 
 def fitted(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -29,9 +30,10 @@ def upsert_numbered(old: DataFrame, new: DataFrame, key: Sequence[str], update:
     return upsert(old, both, ["id"], update, maps)
 
 
-def upsert_competitions(old: DataFrame, new: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """Competitions by (name, country): the tier is replaced, source ids merged, unless ``keep_ids``."""
-    return upsert_numbered(old, new.dropDuplicates(["name", "country"]), ["name", "country"], ["tier"], [] if keep_ids else ["source_ids"])
+def upsert_competitions(old: DataFrame, new: DataFrame, keep_ids: bool = False, order: Sequence[str] = ("tier",)) -> DataFrame:
+    """Competitions by (name, country): the tier is replaced, source ids merged, unless ``keep_ids``. Of repeated new ones the
+    first by ``order`` counts."""
+    return upsert_numbered(old, once(new, ["name", "country"], order), ["name", "country"], ["tier"], [] if keep_ids else ["source_ids"])
 
 
 def league_competitions(stats: DataFrame) -> DataFrame:
@@ -42,12 +44,13 @@ def league_competitions(stats: DataFrame) -> DataFrame:
     )
 
 
-def upsert_clubs(old: DataFrame, new: DataFrame, keys: Sequence[Sequence[str]], merge_ids: bool = False, source: str | None = None) -> DataFrame:
+def upsert_clubs(old: DataFrame, new: DataFrame, keys: Sequence[Sequence[str]], merge_ids: bool = False, source: str | None = None, order: Sequence[str] = ("name",)) -> DataFrame:
     """Clubs matched by the first of the ``keys`` (sets of columns) that finds one; others are added once per first key.
 
-    With ``source`` an id in ``source_ids`` is tried before them. A match changes nothing, or merges the source ids.
+    With ``source`` an id in ``source_ids`` is tried before them. A match changes nothing, or merges the source ids. Of new
+    ones with an equal first key the first by ``order`` counts.
     """
-    fresh = new.dropDuplicates(list(keys[0])).withColumn("__row", F.xxhash64(*keys[0]))
+    fresh = once(new, list(keys[0]), order).withColumn("__row", F.xxhash64(*keys[0]))
     sides, targets = [{k: k for k in key} for key in keys], old
     if source:
         fresh, targets = fresh.withColumn("__sid", F.col("source_ids")[source]), old.withColumn("__tid", F.col("source_ids")[source])
@@ -77,19 +80,20 @@ class Resolution(NamedTuple):
     queue: DataFrame
 
 
-def resolve(records: DataFrame, players: DataFrame, aliases: DataFrame, queue: DataFrame, now: Column, exhaustive: bool = True) -> Resolution:
+def resolve(records: DataFrame, players: DataFrame, aliases: DataFrame, queue: DataFrame, now: Column) -> Resolution:
     """Records (source, source_id, raw_name, birth_date, nationality, raw_payload) against players as they are at the start.
 
     A known (source, source_id) comes first. Others are scored against all players: resolved ones get an alias with their
     score, doubtful ones enter the queue with their five best candidates (an entry already there is renewed, not
-    reopened), new ones are left to the caller. Outcomes: already_known, auto_resolved, needs_review, new.
+    reopened), new ones are left to the caller. Outcomes: already_known, auto_resolved, needs_review, new. Of records with one
+    (source, source_id) the first by name and payload counts.
     """
     key = ["source", "source_id"]
-    known, rest = identity.with_aliases(records.dropDuplicates(key), aliases)
-    rest = rest.withColumn("query_id", F.xxhash64(*key))
+    known, rest = identity.with_aliases(once(records, key, ["raw_name", "raw_payload"]), aliases)
+    rest = cut(rest.withColumn("query_id", F.xxhash64(*key)))
     candidates = players.select(F.col("id").alias("player_id"), "normalized_name", "birth_date", "nationality")
-    out = identity.outcomes(rest, identity.scored_pairs(rest, candidates, exhaustive))
-    judged = rest.join(out, "query_id").drop("query_id")
+    # read by the aliases, the queue and the rows: scored once
+    judged = cut(rest.join(identity.outcomes(rest, identity.top_candidates(rest, candidates)), "query_id").drop("query_id"))
     auto, review = judged.filter("outcome = 'auto_resolved'"), judged.filter("outcome = 'needs_review'")
     made = auto.withColumn("confidence", F.round("confidence", 3)).withColumn("resolved_manually", F.lit(False)).withColumn("created_at", now)
     new_aliases = insert_missing(aliases, fitted(with_ids(made, aliases, key), aliases), key)
@@ -99,10 +103,13 @@ def resolve(records: DataFrame, players: DataFrame, aliases: DataFrame, queue: D
     return Resolution(known.select(*columns).unionByName(judged.select(*columns)), new_aliases, new_queue)
 
 
-def insert_players(players: DataFrame, aliases: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Players and aliases with one player, and an alias of full confidence, for every new record (source, source_id, raw_name, ...)."""
-    made = with_ids(new.dropDuplicates(["source", "source_id"]), players, ["source", "source_id"]).withColumn("full_name", F.col("raw_name"))
-    made = made.withColumn("normalized_name", normalize_name(F.col("raw_name"))).withColumn("updated_at", now)
+def insert_players(players: DataFrame, aliases: DataFrame, new: DataFrame, now: Column, strip: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Players and aliases with one player, and an alias of full confidence, for every new record (source, source_id, raw_name, ...).
+
+    Outer white space of names is taken off the normalized name, unless ``strip`` is false, as for names settled by hand.
+    """
+    made = with_ids(once(new, ["source", "source_id"], ["raw_name"]), players, ["source", "source_id"]).withColumn("full_name", F.col("raw_name"))
+    made = made.withColumn("normalized_name", (normalize_name if strip else fold)(F.col("raw_name"))).withColumn("updated_at", now)
     ids = F.map_from_arrays(F.array("source"), F.array("source_id"))
     alias = made.select(F.col("id").alias("player_id"), "source", "source_id", "raw_name").withColumn("confidence", F.lit(1.0)).withColumn("resolved_manually", F.lit(False)).withColumn("created_at", now)
     numbered = fitted(with_ids(alias, aliases, ["source", "source_id"]), aliases)
@@ -141,10 +148,28 @@ def payload_players(entries: DataFrame) -> DataFrame:
     )
 
 
-def add_rows(old: DataFrame, new: DataFrame, order: Sequence[str], required: Mapping[str, str] | None = None) -> DataFrame:
+def add_rows(old: DataFrame, new: DataFrame, order: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
     """A numbered table with rows appended (notes, searches, lists): texts are trimmed, empty ones null, rows without a required text left out."""
     texts = {f.name for f in new.schema if f.dataType.simpleString() == "string"}
     clean = new.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) if c in texts else F.col(c) for c in new.columns])
-    for column in required or {}:
+    for column in required:
         clean = clean.filter(F.col(column).isNotNull())
     return old.unionByName(fitted(with_ids(clean, old, order), old))
+
+
+def save_search(saved: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Saved searches with new ones (``name`` and the columns of criteria) as JSON; a search without name is left out."""
+    criteria = [c for c in new.columns if c != "name"]
+    rows = new.select("name", F.to_json(F.struct(*criteria)).alias("filters")).withColumn("created_at", now)
+    return add_rows(saved, rows, ["name", "filters"], ["name"])
+
+
+def touch_searches(saved: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Saved searches, those of ``ids`` (``id``) marked as checked now."""
+    hit = saved.join(ids.select("id", F.lit(True).alias("__hit")).distinct(), "id", "left")
+    return hit.withColumn("last_checked_at", F.when(F.col("__hit"), now).otherwise(F.col("last_checked_at"))).select(*saved.columns)
+
+
+def delete_searches(saved: DataFrame, ids: DataFrame) -> DataFrame:
+    """Saved searches without those of ``ids``."""
+    return saved.join(ids.select("id").distinct(), "id", "left_anti")

@@ -1,8 +1,7 @@
-"""Upserts on immutable tables: the merged table is computed as a whole and swapped in."""
+"""Upserts on immutable tables: the merged table is computed as a whole and committed (``sources.store``)."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +43,13 @@ def insert_missing(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
     return old.unionByName(once.join(old.select(*key), list(key), "left_anti").select(*old.columns))
 
 
+def once(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by ``order``; of equal ones any."""
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("__r"))
+    return first.select(*key, "__r.*").select(*rows.columns)
+
+
 def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without the parents in ``gone`` and their children."""
     ids = gone.select(key).distinct()
@@ -78,39 +84,3 @@ def with_ids(new: DataFrame, old: DataFrame, order: Sequence[str], column: str =
     shift = F.broadcast(new.sparkSession.createDataFrame(offsets or [(-1, 0)], "__p int, __o long"))
     place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     return parts.withColumn("__n", place).join(shift, "__p").withColumn(column, (F.col("__o") + F.col("__n")).cast("int")).drop("__p", "__n", "__o")
-
-
-def replace_table(rows: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
-    """Write to a folder beside ``path`` and swap it in by renaming, so that readers see the old or the new table."""
-    spark = rows.sparkSession
-    staged, aside = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
-    writer = rows.write.mode("errorifexists")
-    (writer.partitionBy(*partition) if partition else writer).parquet(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and not fs.rename(target, hadoop.Path(aside)):
-        raise OSError(f"can't set {path} aside")
-    if not fs.rename(hadoop.Path(staged), target):
-        fs.rename(hadoop.Path(aside), target)
-        raise OSError(f"can't swap in {path}")
-    fs.delete(hadoop.Path(aside), True)
-
-
-def logged_run(spark, path: str, source: str, scope: str, load) -> int:
-    """Run ``load``, which returns the number of rows written, and append its outcome to the log of runs at ``path``.
-
-    A failure is logged with its message and raised again.
-    """
-    from datetime import datetime, timezone
-
-    columns = "source string, scope string, started_at timestamp, finished_at timestamp, rows_written int, status string, error string"
-    began = datetime.now(timezone.utc)
-    entry = lambda n, status, error: spark.createDataFrame([(source, scope, began, datetime.now(timezone.utc), n, status, error)], columns).write.mode("append").parquet(path)
-    try:
-        n = load()
-    except Exception as exc:
-        entry(None, "failed", str(exc)[:2000])
-        raise
-    entry(n, "success", None)
-    return n

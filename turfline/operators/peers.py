@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from turfline.functions.scalars import percentile_of, season_year
 from turfline.registry import LOWER_IS_BETTER, MIN_MINUTES, POSITION_LABELS, SEASON_SPAN
 from turfline.session import cut
 
+#: Values of a group that one task ranks, about, and most ranges of a group.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1_000
+
 
 def one_row_each(stats: DataFrame) -> DataFrame:
     """Long metrics with one row per player, season, position, tier and metric: several clubs are weighted by minutes.
@@ -51,22 +56,44 @@ def peer_groups(stats: DataFrame, min_minutes: int = MIN_MINUTES, span: int = SE
     )
 
 
+def running_counts(values: DataFrame, key: Sequence[str], value: str, count: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``values`` with ``__upto``, the sum of ``count`` up to each value within its key, and ``__all``, the sum of its key.
+
+    A key of any number of values is spread: its values are cut into ranges of about ``bucket_rows`` at approximate quantiles,
+    sums run within a range, and only the totals of the at most ``MOST_BUCKETS`` ranges of a key are summed up in one place.
+    Null keys are a group; ``value`` must be unique within its key.
+    """
+    steps = F.array(*[F.lit(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS)])
+    cuts = values.groupBy(*key).agg(F.count("*").alias("__m"), F.percentile_approx(value, steps, F.lit(10 * MOST_BUCKETS)).alias("__cuts"))
+    # every so many of the cuts, as few as the number of values needs
+    wanted = F.least(F.ceil(F.col("__m") / bucket_rows), F.lit(MOST_BUCKETS))
+    keep = F.filter("__cuts", lambda c, i: F.floor((i + 1) * wanted / MOST_BUCKETS) > F.floor(i * wanted / MOST_BUCKETS))
+    cuts = cuts.select(*[F.col(k).alias(f"__k_{k}") for k in key], F.array_distinct(keep).alias("__cuts"))
+    rows = values.join(cuts, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key]).drop(*[f"__k_{k}" for k in key])
+    rows = rows.withColumn("__b", F.aggregate("__cuts", F.lit(0), lambda n, c: n + F.when(c < F.col(value), 1).otherwise(0))).drop("__cuts")
+    ranges = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*key, "__b").agg(F.sum(count).alias("__t"))
+    totals = totals.select(*[F.col(k).alias(f"__t_{k}") for k in key], F.col("__b").alias("__tb"), F.coalesce(F.sum("__t").over(ranges), F.lit(0)).alias("__before"), F.sum("__t").over(Window.partitionBy(*key)).alias("__all"))
+    within = Window.partitionBy(*key, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__in", F.sum(count).over(within))
+    rows = rows.join(totals, [*[F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in key], F.col("__b") == F.col("__tb")])
+    return rows.withColumn("__upto", F.col("__before") + F.col("__in")).select(*values.columns, "__upto", "__all")
+
+
 def percentiles(stats: DataFrame, min_minutes: int = MIN_MINUTES, span: int = SEASON_SPAN) -> DataFrame:
     """Percentile rows: player_id, season, peer_group_id, metric, raw_value, percentile.
 
-    Equal values are counted before they are ranked: a window runs over the distinct values of a group and metric, not
-    over its rows, and the ranks are joined back.
+    Equal values are counted before they are ranked (``running_counts``), and the ranks are joined back.
     """
     once = cut(one_row_each(stats.filter(F.col("minutes") >= min_minutes)))  # read for seasons, values and rows
     rows = centred(once, span)
     rows = rows.select("player_id", "season", group_id().alias("peer_group_id"), "metric", "raw_value")
     key = ["peer_group_id", "metric"]
     good = F.when(F.col("metric").isin(LOWER_IS_BETTER), -F.col("raw_value")).otherwise(F.col("raw_value"))
-    values = rows.groupBy(*key, "raw_value").agg(F.count("*").alias("eq"))
-    part = Window.partitionBy(*key)
-    upto = F.sum("eq").over(part.orderBy(good).rowsBetween(Window.unboundedPreceding, 0))
-    rank = upto - F.col("eq") + (F.col("eq") + 1) / 2
-    ranked = values.select(*key, "raw_value", percentile_of(rank, F.sum("eq").over(part)).alias("percentile"))
+    values = rows.groupBy(*key, "raw_value").agg(F.count("*").alias("eq")).withColumn("good", good)
+    counted = running_counts(values, key, "good", "eq")
+    rank = F.col("__upto") - F.col("eq") + (F.col("eq") + 1) / 2
+    ranked = counted.select(*key, "raw_value", percentile_of(rank, F.col("__all")).alias("percentile"))
     return rows.join(ranked, [*key, "raw_value"]).select("player_id", "season", *key, "raw_value", "percentile")
 
 

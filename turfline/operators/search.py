@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.scalars import age_years
-from turfline.registry import POSITION_LABELS, SEARCH_RADAR
+from turfline.registry import MIN_MINUTES, POSITION_LABELS, SEARCH_RADAR, SHEET_RADAR
 
 LIMIT = 200
 
@@ -56,6 +57,14 @@ class Filters:
             market_value_max=number("marketValueMax"), tier=number("tier"), metric=one("metric") or None, percentile_min=number("percentileMin"),
         )
 
+    def to_json(self) -> str:
+        """The criteria as stored JSON; ``parse`` of it gives them back."""
+        names = {
+            "positions": list(self.positions) or None, "foot": self.foot, "ageMin": self.age_min, "ageMax": self.age_max, "minutesMin": self.minutes_min,
+            "contractBefore": self.contract_before, "marketValueMax": self.market_value_max, "tier": self.tier, "metric": self.metric, "percentileMin": self.percentile_min,
+        }
+        return json.dumps({k: v for k, v in names.items() if v is not None}, ensure_ascii=False)
+
     def condition(self, as_of: Column) -> Column:
         """The criteria as one predicate that pushes down to the scans; unknown values fail, as in SQL."""
         age = age_years(F.col("birth_date"), as_of)
@@ -148,3 +157,49 @@ def radar_points(rows: DataFrame, radius: float = 100.0, least: int = 3) -> Data
     reach = F.greatest(F.least(F.col("percentile"), F.lit(100)), F.lit(0)) / 100.0 * radius
     rows = rows.withColumn("i", i).withColumn("n", n).filter(F.col("n") >= least)
     return rows.select("player_id", "season", "metric", (F.round(F.cos(angle) * reach, 4) + 0.0).alias("x"), (F.round(F.sin(angle) * reach, 4) + 0.0).alias("y"))
+
+
+def with_groups(percentiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """Percentile rows with ``label`` and ``sample_size`` of their peer group; rows of unknown groups are left out."""
+    named = groups.select(F.col("peer_group_id"), "label", "sample_size")
+    return percentiles.join(named, "peer_group_id")
+
+
+def listed(entries: DataFrame, players: DataFrame) -> DataFrame:
+    """Entries of lists with name and position group of their player, in the order of their ``place``."""
+    rows = ordered_entries(entries).join(players.select("player_id", "full_name", "position_group"), "player_id")
+    return rows.orderBy("shortlist_id", "place")
+
+
+def open_entries(queue: DataFrame) -> DataFrame:
+    """Entries of the review queue that nobody has settled."""
+    return queue.filter(F.col("resolved_at").isNull())
+
+
+def entry_candidates(entries: DataFrame, players: DataFrame) -> DataFrame:
+    """``id`` of each entry, ``place`` (from 0), ``player_id`` and ``score`` of its candidates, and their ``full_name``; null for
+    players that are gone."""
+    each = entries.select("id", F.posexplode("candidates").alias("place", "c")).select("id", "place", F.col("c.playerId").alias("player_id"), F.col("c.score").alias("score"))
+    return each.join(players.select("player_id", "full_name"), "player_id", "left")
+
+
+def newest_first(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    """Rows by falling time, those without one last."""
+    return rows.orderBy(F.desc_nulls_last(at), tie)
+
+
+def report(stats: DataFrame, percentiles: DataFrame, notes: DataFrame, entries: DataFrame, min_minutes: int = MIN_MINUTES) -> DataFrame:
+    """One row per player with season rows: ``season`` and ``minutes`` of the last one, whether it is ``eligible``, the sheet
+    ``radar`` (metric, percentile) of that season, the latest known ``rating`` and the ``verdicts`` (list, status), sorted.
+
+    ``percentiles``: those of the own-season group; repeated ones count once, of different ones the largest. Players without
+    notes or entries have null and an empty list.
+    """
+    last = latest_season(stats).select("player_id", "season", "minutes", "club_id")
+    best = percentiles.filter(F.col("metric").isin(list(SHEET_RADAR))).groupBy("player_id", "season", "metric").agg(F.max("percentile").alias("percentile"))
+    radar = best.groupBy("player_id", "season").agg(F.array_sort(F.collect_list(F.struct("metric", "percentile"))).alias("radar"))
+    rating = latest_known(notes, ["player_id"], "rating", "created_at", "id")
+    verdicts = entries.groupBy("player_id").agg(F.array_sort(F.collect_set(F.struct("shortlist_id", "status"))).alias("verdicts"))
+    rows = last.join(radar, ["player_id", "season"], "left").join(rating, "player_id", "left").join(verdicts, "player_id", "left")
+    none = F.array().cast("array<struct<shortlist_id:int,status:string>>")
+    return rows.withColumn("eligible", F.col("minutes") >= min_minutes).withColumn("verdicts", F.coalesce("verdicts", none))

@@ -1,4 +1,4 @@
-"""Style and quality vectors, their reduction, and similarity to one row."""
+"""Style and quality vectors, their reduction, and similarity to a set of rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.functions.scalars import cosine, padded, unit
+from turfline.functions.scalars import padded, unit
+from turfline.operators.blocks import best_of, in_blocks, leading
 from turfline.registry import LOWER_IS_BETTER, METRIC_KEYS, VECTOR_SIZE
 from turfline.session import cut
 
@@ -82,19 +83,45 @@ def player_vectors(stats: DataFrame, percentile_maps: DataFrame, keys: Sequence[
     return both.select("player_id", "season", "style_vec", "quality_vec", F.lit(version).alias("model_version"))
 
 
-def similar_to(vectors: DataFrame, target: DataFrame, vector: str, k: int, row: str = "player_id") -> DataFrame:
-    """The k rows of other entities most similar to the one row of ``target``, by cosine; undefined similarities are left out.
+def similar_to(vectors: DataFrame, targets: DataFrame, vector: str, k: int, row: str = "player_id") -> DataFrame:
+    """``target``, the columns of ``vectors``, ``similarity`` and ``place``: for each row of ``targets`` the k rows of other
+    entities most similar to it, by cosine in double precision.
 
-    The target is one row, broadcast; the rest is one scan with a bounded top-k per task. Ties go by ``row``, then season.
+    ``targets`` holds ``row``, once each, and ``vector``. Null, empty and all-zero vectors, those holding NaN or null, and those
+    of another length have no similarity and are left out. Similarities equal to nine digits go by ``row``, then season.
     """
-    one = F.broadcast(target.select(F.col(row).alias("__row"), F.col(vector).alias("__v")).limit(1))
-    scored = vectors.crossJoin(one).filter((F.col(row) != F.col("__row")) & F.col(vector).isNotNull())
-    scored = scored.withColumn("similarity", cosine(F.col(vector), F.col("__v"))).filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    others = [c for c in ("season",) if c in vectors.columns]
-    return scored.drop("__row", "__v").orderBy(F.desc(F.round("similarity", 9)), row, *others).limit(k)
-
-
-def earliest(vectors: DataFrame, player: int) -> DataFrame:
-    """The row of a player's first season."""
-    return vectors.filter(F.col("player_id") == player).orderBy("season").limit(1)
-
+    tie = [row, *[c for c in ("season",) if c in vectors.columns]]
+    kind = dict(vectors.dtypes)
+    keep = lambda df: df.filter((F.size(vector) > 0) & F.col(row).isNotNull())
+    asked = keep(targets).select(F.col(row).alias("target"), F.col(vector).alias("v"))
+    there = keep(vectors).select(*tie, F.col(vector).alias("v"))
+
+    def matrix(column: pd.Series, size: int) -> np.ndarray:
+        out = np.full((len(column), size), np.nan)
+        for i, v in enumerate(column):
+            if len(v) == size:
+                out[i] = v
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return out / np.sqrt((out * out).sum(axis=1))[:, None]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(tie, kind="stable").reset_index(drop=True)
+        ids, size, out = b[row].to_numpy(), a["v"].map(len), []
+        for length, part in a.groupby(size):
+            there = matrix(b["v"], int(length)).T
+            for start in range(0, len(part), 256):
+                own = part.iloc[start : start + 256]
+                score = np.round(matrix(own["v"], int(length)) @ there, 9)
+                score[np.isnan(score) | (own["target"].to_numpy()[:, None] == ids[None, :])] = -np.inf
+                i, j = leading(score, k)
+                out.append([own["target"].to_numpy()[i], *[b[c].to_numpy()[j] for c in tie], score[i, j]])
+        return pd.DataFrame(dict(zip(["target", *tie, "similarity"], map(np.concatenate, zip(*out)), strict=True)))
+
+    found = in_blocks(asked, there, "target", row, compare, ", ".join([f"target {kind[row]}", *[f"{c} {kind[c]}" for c in tie], "similarity double"]))
+    return best_of(found, "target", [F.desc("similarity"), *tie], k)
+
+
+def earliest(vectors: DataFrame) -> DataFrame:
+    """The row of every player's first season."""
+    columns = [c for c in vectors.columns if c != "player_id"]
+    return vectors.groupBy("player_id").agg(F.min_by(F.struct(*columns), "season").alias("__r")).select("player_id", "__r.*")

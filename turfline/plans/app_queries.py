@@ -2,71 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turfline.functions.scalars import french_date, labelled, millions, percent
 from turfline.functions.text import normalize_name
-from turfline.operators import identity, merge, search
+from turfline.operators import identity, ingest, merge, peers, search
 from turfline.plans import binding as B
-from turfline.registry import SEARCH_RADAR, SHEET_RADAR
+from turfline.registry import POSITION_LABELS, SEARCH_RADAR, SHEET_RADAR, STATUS_LABELS
+from turfline.schema import TABLES
 from turfline.session import table
 
-# -- identity: the distinct part names are the queries, every eighth of them a candidate
-
-
-def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").cast("int").alias("id"), F.max("p_size").alias("size"))
-    # the names are a fixed vocabulary of 64; every eighth is told by how many precede it
-    before = names.alias("a").join(F.broadcast(names).alias("b"), F.col("a.p_name") > F.col("b.p_name"), "left").groupBy("a.p_name").agg(F.count("b.p_name").alias("n"))
-    born = F.when(F.col("size") % 3 > 0, F.make_date(F.lit(2000) + F.col("size") % 3, F.lit(1), F.lit(1)))
-    nations = F.when(F.col("size") % 5 > 0, F.array((F.col("size") % 2).cast("string"))).otherwise(F.array().cast("array<string>"))
-    names = names.join(before, "p_name").select("id", "p_name", "n", born.alias("birth_date"), nations.alias("nationality"))
-    queries = names.select(F.col("id").alias("query_id"), F.initcap("p_name").alias("raw_name"), "birth_date", "nationality")
-    candidates = names.filter("n % 8 = 0").select(F.col("id").alias("player_id"), normalize_name(F.col("p_name")).alias("normalized_name"), "birth_date", "nationality")
-    return queries, candidates
-
-
-def token_set_score(spark: SparkSession, d: str) -> DataFrame:
-    queries, candidates = _named(spark, d)
-    pairs = queries.crossJoin(F.broadcast(candidates.select("player_id", "normalized_name")))
-    return pairs.select("query_id", "player_id", F.round(identity.token_set_ratio(normalize_name(F.col("raw_name")), F.col("normalized_name")), 6).alias("score"))
-
-
-def identity_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    queries, candidates = _named(spark, d)
-    out = identity.outcomes(queries, identity.scored_pairs(queries, candidates))
-    return out.select("query_id", "outcome", "player_id", F.round("confidence", 6).alias("confidence"))
-
-
-def identity_top5(spark: SparkSession, d: str) -> DataFrame:
-    top = identity.top_candidates(identity.scored_pairs(*_named(spark, d)))
-    return top.select("query_id", "player_id", "place", F.round("score", 6).alias("score"))
-
-
 def alias_first(spark: SparkSession, d: str) -> DataFrame:
-    """Market records known by alias, and the number of those that are not."""
+    """Market records with the player their alias names, or as unknown."""
     records = table(spark, d, "market_players").select(F.lit("transfermarkt").alias("source"), F.col("market_player_id").cast("string").alias("source_id"))
     known, rest = identity.with_aliases(records, table(spark, d, "player_aliases"))
     return known.select("source_id", "player_id", "outcome").unionByName(rest.select("source_id", F.lit(None).cast("int").alias("player_id"), F.lit("unknown").alias("outcome")))
 
 
-def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Records to review with the names of their candidates, best first."""
-    queries, candidates = _named(spark, d)
-    open_rows = identity.outcomes(queries, identity.scored_pairs(queries, candidates)).filter("outcome = 'needs_review'")
-    each = open_rows.select("query_id", F.posexplode("candidates").alias("place", "c"))
-    named = each.select("query_id", "place", F.col("c.playerId").alias("player_id"), F.round("c.score", 6).alias("score")).join(candidates.select("player_id", "normalized_name"), "player_id")
-    return named.select("query_id", "place", "player_id", "score", F.col("normalized_name").alias("candidate"))
-
-
-def trigram_search(spark: SparkSession, d: str) -> DataFrame:
-    """Players whose name shares trigrams with the name of player 7: the ten most similar."""
-    players = table(spark, d, "players").select("player_id", "normalized_name")
-    one = F.broadcast(players.filter(F.col("player_id") == B.PLAYER).select(F.col("normalized_name").alias("wanted")).limit(1))
-    scored = players.crossJoin(one).select("player_id", F.round(identity.trigram_similarity(F.col("normalized_name"), F.col("wanted")), 6).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "player_id").limit(10)
-
-
 # -- search and sheets
 
 FILTERS = search.Filters(positions=("CM", "DM", "ST"), foot="right", age_min=18, age_max=32, minutes_min=600, contract_before="2030-12-31", market_value_max=20_000_000, tier=1)
@@ -94,11 +49,27 @@ def search_threshold_first(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, _threshold(), True)
 
 
-def saved_search(spark: SparkSession, d: str) -> DataFrame:
-    """A stored search run again from its JSON."""
-    import json
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    """A saved search for every position group and foot of the players, the criteria as JSON."""
+    pairs = B.clean_players(spark, d).filter("foot in ('left', 'right', 'both')").select("position_group", "foot").distinct()
+    new = pairs.select(F.concat_ws(" ", "position_group", "foot").alias("name"), F.array("position_group").alias("positions"), "foot", F.lit(27).alias("ageMax"), F.lit("0").alias("minutesMin"))
+    empty = spark.createDataFrame([], TABLES["saved_searches"])
+    return ingest.save_search(empty, new, F.lit("2025-01-01 00:00:00").cast("timestamp"))
 
-    return _search(spark, d, search.Filters.parse(json.loads('{"positions": ["ST", "W"], "foot": "left", "ageMax": 27, "minutesMin": 0}')))
+
+def saved_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Saved searches after those of left feet are deleted and those of strikers touched, the newest first."""
+    rows = _saved(spark, d)
+    rows = ingest.delete_searches(rows, rows.filter("name like '% left'"))
+    rows = ingest.touch_searches(rows, rows.filter("name like 'ST %'"), F.lit("2025-07-01 00:00:00").cast("timestamp"))
+    shown = search.newest_first(rows, "created_at", "id").select("id", "name", F.from_json("filters", "positions array<string>, foot string, ageMax int, minutesMin string").alias("f"), "last_checked_at")
+    return shown.select("id", "name", F.array_join("f.positions", ",").alias("positions"), "f.foot", F.col("f.ageMax").alias("age_max"), french_date(F.col("last_checked_at")).alias("checked"))
+
+
+def saved_search(spark: SparkSession, d: str) -> DataFrame:
+    """The stored search of right-footed strikers, run again from its JSON."""
+    stored = _saved(spark, d).filter("name = 'ST right'").select("filters").first()  # the criteria shape the plan
+    return _search(spark, d, search.Filters.parse(json.loads(stored[0]) if stored else {}))
 
 
 def search_radar(spark: SparkSession, d: str) -> DataFrame:
@@ -108,26 +79,45 @@ def search_radar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def players_list(spark: SparkSession, d: str) -> DataFrame:
+    """Season rows with names, those of most minutes first."""
     rows = B.stats_only(spark, d).join(table(spark, d, "players"), "player_id").join(B.competitions(spark, d), "competition_id")
-    return rows.select("player_id", "full_name", "season", "competition_name", "club_id", "minutes", "matches_played")
+    rows = rows.select("player_id", "full_name", "season", "competition_name", "club_id", "minutes", "matches_played")
+    return rows.orderBy(F.desc_nulls_last("minutes"), "player_id", "season", "club_id")
 
 
 def player_sheet(spark: SparkSession, d: str) -> DataFrame:
-    """Radar metrics of the player's seasons, in the group of the season itself."""
-    rows = B.percentiles(spark, d).filter((F.col("player_id") == _first_player(spark, d)) & F.col("metric").isin(SHEET_RADAR))
-    own = rows.filter(F.substring_index("peer_group_id", "|", -1) == F.col("season"))
-    return own.select("season", "peer_group_id", "metric", F.round("raw_value", 6).alias("raw_value"), "percentile")
+    """Radar metrics of the seasons of every player, in the group of the season itself, with the group's label and size."""
+    rows = peers.own_group(B.percentiles(spark, d)).filter(F.col("metric").isin(SHEET_RADAR))
+    rows = search.with_groups(rows, peers.peer_groups(B.stats(spark, d)))
+    return rows.select("player_id", "season", "peer_group_id", "metric", F.round("raw_value", 6).alias("raw_value"), "percentile", "label", "sample_size")
 
 
-def _first_player(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "player_percentiles").agg(F.min("player_id")).first()[0] or 0
+def percentile_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and largest percentile of every player by label of peer group."""
+    rows = search.with_groups(B.percentiles(spark, d), peers.peer_groups(B.stats(spark, d)))
+    return rows.groupBy("player_id", "label").agg(F.count("*").alias("n"), F.max("percentile").alias("best"), F.max("sample_size").alias("sample_size"))
 
 
 def report_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Last season of every player with its best percentile."""
-    last = search.latest_season(B.stats_only(spark, d).drop("metrics")).select("player_id", "season", "minutes", "club_id")
-    best = B.percentiles(spark, d).groupBy("player_id", "season").agg(F.max("percentile").alias("best"))
-    return last.join(best, ["player_id", "season"], "left").select("player_id", "season", "minutes", "club_id", "best")
+    """Report of every player: last season, radar, rating from the confidence of its aliases, verdicts from the lists."""
+    aliases = table(spark, d, "player_aliases").filter("player_id is not null")
+    notes = aliases.select(F.col("alias_id").alias("id"), "player_id", "created_at", F.col("confidence").cast("double").alias("rating"))
+    out = search.report(B.stats_only(spark, d).drop("metrics"), peers.own_group(B.percentiles(spark, d)), notes, _entries(spark, d))
+    text = lambda c, key, value: F.array_join(F.transform(c, lambda e: F.concat(e[key].cast("string"), F.lit("="), e[value].cast("string"))), ",")
+    return out.select("player_id", "season", "minutes", "club_id", "eligible", text("radar", "metric", "percentile").alias("radar"), "rating", text("verdicts", "shortlist_id", "status").alias("verdicts"))
+
+
+def display_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of players as they are shown."""
+    p = table(spark, d, "players")
+    return p.select("player_id", millions(F.col("market_value_eur")).alias("value"), french_date(F.col("contract_until")).alias("until"), F.array_join("nationality", ", ").alias("countries"),
+                    labelled(F.upper(F.trim("position_group")), POSITION_LABELS).alias("position"))
+
+
+def notes_list(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases as notes, the newest first."""
+    rows = table(spark, d, "player_aliases").filter("player_id is not null")
+    return search.newest_first(rows, "created_at", "alias_id").select("alias_id", "player_id", french_date(F.col("created_at")).alias("day"), percent(F.col("confidence").cast("double")).alias("rating"))
 
 
 def latest_value(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +136,7 @@ def radar_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "players").filter("current_club_id is not null")
-    return p.select(F.col("current_club_id").alias("shortlist_id"), "player_id", F.when(F.col("player_id") % 3 > 0, F.col("player_id") % 7).cast("int").alias("rank"), F.col("updated_at").alias("added_at"))
+    return p.select(F.col("current_club_id").alias("shortlist_id"), "player_id", F.when(F.col("player_id") % 3 > 0, F.col("player_id") % 7).cast("int").alias("rank"), F.col("updated_at").alias("added_at"), F.element_at(F.array(*[F.lit(x) for x in STATUS_LABELS]), F.coalesce(F.col("height_cm").cast("int"), F.lit(0)) % 4 + 1).alias("status"))
 
 
 def shortlist_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -160,6 +150,12 @@ def shortlist_order(spark: SparkSession, d: str) -> DataFrame:
     return search.ordered_entries(_entries(spark, d)).select("shortlist_id", "player_id", "place", F.col("rank").cast("int").alias("rank"))
 
 
+def shortlist_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the lists with their players, in order."""
+    rows = search.listed(_entries(spark, d), table(spark, d, "players"))
+    return rows.select("shortlist_id", "place", "player_id", "full_name", "position_group", labelled(F.col("status"), STATUS_LABELS).alias("status"))
+
+
 def shortlist_move(spark: SparkSession, d: str) -> DataFrame:
     """The lowest player id of every list moves one place up."""
     entries = _entries(spark, d)
@@ -167,11 +163,11 @@ def shortlist_move(spark: SparkSession, d: str) -> DataFrame:
     return search.moved_entries(entries, moves).select("shortlist_id", "player_id", F.col("rank").cast("int").alias("rank"))
 
 
-TABLES = ["players", "player_aliases", "market_players", "matches", "lineups", "player_season_stats", "player_percentiles", "player_vectors", "documents", "eval_items", "mix_targets"]
+COUNTED = ["players", "player_aliases", "market_players", "matches", "lineups", "player_season_stats", "player_percentiles", "player_vectors", "documents", "eval_items", "mix_targets"]
 
 
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
-    return search.counts({t: table(spark, d, t) for t in TABLES})
+    return search.counts({t: table(spark, d, t) for t in COUNTED})
 
 
 def last_run(spark: SparkSession, d: str) -> DataFrame:
@@ -238,46 +234,24 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "token_set_score": token_set_score, "identity_outcomes": identity_outcomes, "identity_top5": identity_top5, "alias_first": alias_first, "review_queue": review_queue,
-    "trigram_name_search": trigram_search, "search_basic": search_basic, "search_threshold": search_threshold, "search_threshold_first": search_threshold_first,
-    "saved_search_rerun": saved_search, "search_radar": search_radar, "players_list": players_list, "player_sheet": player_sheet, "report_latest": report_latest,
-    "latest_known_value": latest_value, "radar_points": radar_polygon, "shortlist_counts": shortlist_counts, "shortlist_order": shortlist_order, "shortlist_move": shortlist_move,
-    "health_counts": health_counts, "last_run": last_run, "outcome_counts": outcome_counts, "upsert_merge": upsert_merge, "map_merge": map_merge,
-    "insert_ignore": insert_ignore, "club_match_or": club_match_or, "cascade_delete": cascade_delete,
+    "alias_first": alias_first, "search_basic": search_basic, "search_threshold": search_threshold, "search_threshold_first": search_threshold_first,
+    "saved_search_rerun": saved_search, "saved_searches": saved_searches, "search_radar": search_radar, "players_list": players_list, "player_sheet": player_sheet,
+    "percentile_groups": percentile_groups, "report_latest": report_latest, "display_values": display_values, "notes_list": notes_list,
+    "latest_known_value": latest_value, "radar_points": radar_polygon, "shortlist_counts": shortlist_counts, "shortlist_order": shortlist_order, "shortlist_detail": shortlist_detail,
+    "shortlist_move": shortlist_move, "health_counts": health_counts, "last_run": last_run, "outcome_counts": outcome_counts, "upsert_merge": upsert_merge,
+    "map_merge": map_merge, "insert_ignore": insert_ignore, "club_match_or": club_match_or, "cascade_delete": cascade_delete,
 }
 
-NAMES_SQL = """
-nm AS (SELECT p_name, CAST(min(p_partkey) AS INT) AS id, max(p_size) AS sz, row_number() OVER (ORDER BY p_name) - 1 AS n FROM part GROUP BY p_name),
-pr AS (SELECT q.id AS query_id, c.id AS player_id, q.p_name AS a, c.p_name AS b,
-  CASE WHEN q.sz % 3 > 0 AND c.sz % 3 > 0 AND q.sz % 3 <> c.sz % 3 THEN 0 ELSE 1 END AS born,
-  CASE WHEN q.sz % 5 > 0 AND c.sz % 5 > 0 AND q.sz % 2 <> c.sz % 2 THEN 0.5 ELSE 1 END AS nat
-  FROM nm q, nm c WHERE c.n % 8 = 0),
-tk AS (SELECT *, list_sort(list_distinct(string_split(lower(a), ' '))) AS x, list_sort(list_distinct(string_split(lower(b), ' '))) AS y FROM pr),
-df AS (SELECT *, array_to_string(list_filter(x, lambda t: list_contains(y, t)), ' ') AS i, array_to_string(list_filter(x, lambda t: NOT list_contains(y, t)), ' ') AS l,
-  array_to_string(list_filter(y, lambda t: NOT list_contains(x, t)), ' ') AS r FROM tk),
-lcs(query_id, player_id, l, r, k, row) AS (
-  SELECT query_id, player_id, l, r, 0, list_transform(range(0, length(r) + 1), lambda j: 0) FROM df
-  UNION ALL
-  SELECT query_id, player_id, l, r, k + 1, list_prepend(0, list_transform(range(1, length(r) + 1), lambda j: list_max(list_transform(range(1, j + 1),
-    lambda m: greatest(row[m + 1], row[m] + CASE WHEN l[k + 1] = r[m] THEN 1 ELSE 0 END))))) FROM lcs WHERE k < length(l)),
-ln AS (SELECT d.*, length(i) AS s, CASE WHEN length(i) > 0 THEN 1 ELSE 0 END AS z, length(d.l) AS p, length(d.r) AS q, coalesce(lcs.row[-1], 0) AS c
-  FROM df d JOIN lcs ON d.query_id = lcs.query_id AND d.player_id = lcs.player_id AND lcs.k = length(d.l)),
-ts AS (SELECT query_id, player_id, b, born, nat, CASE WHEN s > 0 AND (p = 0 OR q = 0) THEN 1.0
-  WHEN s = 0 THEN 1 - (p + q - 2 * c) / CAST(p + q AS DOUBLE)
-  ELSE greatest(1 - (p + q - 2 * c) / CAST(2 * (s + z) + p + q AS DOUBLE), 1 - (z + p) / CAST(2 * s + z + p AS DOUBLE), 1 - (z + q) / CAST(2 * s + z + q AS DOUBLE)) END AS score FROM ln),
-sc AS (SELECT query_id, player_id, b, CASE WHEN born = 0 THEN 0 ELSE score * nat END AS score FROM ts),
-tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, player_id) AS place FROM sc)
-"""
 COLUMNS = "player_id, full_name, position_group, season, minutes, club_id, competition_name, contract_until, market_value_eur"
 FOUND_SQL = f"""{B.COMPETITIONS_SQL},
-st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) player_id, season, competition_id, club_id, minutes FROM player_season_stats),
+st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) * FROM player_season_stats ORDER BY ingested_at DESC, minutes DESC, matches_played DESC NULLS LAST),
 pl AS (SELECT * REPLACE (upper(trim(position_group)) AS position_group) FROM players WHERE upper(trim(position_group)) IN {B.GROUPS_SQL}),
-base AS (SELECT *, date_part('year', age(DATE '{B.AS_OF}', birth_date)) AS years FROM st JOIN pl USING (player_id) JOIN comps USING (competition_id))
+base AS (SELECT player_id, full_name, position_group, foot, season, minutes, club_id, competition_name, contract_until, market_value_eur, tier, date_part('year', age(DATE '{B.AS_OF}', birth_date)) AS years FROM st JOIN pl USING (player_id) JOIN comps USING (competition_id))
 """
 ORDER = "ORDER BY minutes DESC NULLS LAST, player_id, season, club_id, competition_name LIMIT 200"
 BASIC = "position_group IN ('CM','DM','ST') AND foot = 'right' AND years >= 18 AND years <= 32 AND minutes >= 600 AND contract_until <= DATE '2030-12-31' AND market_value_eur <= 20000000 AND tier = 1"
 ABLE = "(player_id, season) IN (SELECT player_id, season FROM player_percentiles WHERE metric = 'xg' AND percentile >= 60)"
-ENTRIES_SQL = "en AS (SELECT current_club_id AS shortlist_id, player_id, CASE WHEN player_id % 3 > 0 THEN CAST(player_id % 7 AS INT) END AS rank, updated_at AS added_at FROM players WHERE current_club_id IS NOT NULL)"
+ENTRIES_SQL = "en AS (SELECT current_club_id AS shortlist_id, player_id, CASE WHEN player_id % 3 > 0 THEN CAST(player_id % 7 AS INT) END AS rank, updated_at AS added_at, (['a_observer','observe','prioritaire','ecarte'])[coalesce(height_cm, 0) % 4 + 1] AS status FROM players WHERE current_club_id IS NOT NULL)"
 PLACED_SQL = f"{ENTRIES_SQL}, od AS (SELECT *, row_number() OVER (PARTITION BY shortlist_id ORDER BY rank NULLS LAST, added_at, player_id) - 1 AS place FROM en), ex AS (SELECT *, coalesce(rank, place) AS r FROM od)"
 UPDATES_SQL = """
 fi AS (SELECT player_id, min(CAST(trim(source_id) AS INT)) AS mid FROM player_aliases WHERE source = 'transfermarkt' AND player_id IS NOT NULL GROUP BY player_id),
@@ -286,37 +260,42 @@ up AS (SELECT player_id, mid, name, CAST(trunc(height_in_cm) AS SMALLINT) AS h,
 SHEET = ", ".join(f"'{k}'" for k in SHEET_RADAR)
 
 ORACLES = {
-    "token_set_score": f"WITH RECURSIVE {NAMES_SQL} SELECT query_id, player_id, round(score, 6) AS score FROM ts",
-    "identity_outcomes": f"""WITH RECURSIVE {NAMES_SQL} SELECT query_id, CASE WHEN score >= 0.92 THEN 'auto_resolved' WHEN score >= 0.6 THEN 'needs_review' ELSE 'new' END AS outcome,
-  CASE WHEN score >= 0.92 THEN player_id END AS player_id, CASE WHEN score >= 0.92 THEN round(score, 6) END AS confidence FROM tp WHERE place = 1""",
-    "identity_top5": f"WITH RECURSIVE {NAMES_SQL} SELECT query_id, player_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM tp WHERE place <= 5",
     "alias_first": """SELECT CAST(m.market_player_id AS VARCHAR) AS source_id, a.player_id, CASE WHEN a.player_id IS NULL THEN 'unknown' ELSE 'already_known' END AS outcome
 FROM market_players m LEFT JOIN (SELECT source_id, min(player_id) AS player_id FROM player_aliases WHERE source = 'transfermarkt' AND player_id IS NOT NULL GROUP BY source_id) a
   ON a.source_id = CAST(m.market_player_id AS VARCHAR)""",
     "outcome_counts": """SELECT CASE WHEN a.source_id IS NULL THEN 'unknown' ELSE 'already_known' END AS outcome, count(*) AS n
 FROM market_players m LEFT JOIN (SELECT DISTINCT source_id FROM player_aliases WHERE source = 'transfermarkt' AND player_id IS NOT NULL) a
   ON a.source_id = CAST(m.market_player_id AS VARCHAR) GROUP BY 1""",
-    "review_queue": f"""WITH RECURSIVE {NAMES_SQL}, op AS (SELECT query_id FROM tp WHERE place = 1 AND score >= 0.6 AND score < 0.92)
-SELECT query_id, CAST(place - 1 AS INT) AS place, player_id, round(score, 6) AS score, lower(b) AS candidate FROM tp JOIN op USING (query_id) WHERE place <= 5""",
-    "trigram_name_search": r"""WITH g AS (SELECT player_id, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(normalized_name), '[^\p{L}\p{N}]+'), lambda x: x <> ''),
-  lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS t FROM players),
-o AS (SELECT t AS u FROM g WHERE player_id = 7)
-SELECT player_id, round(coalesce(len(list_intersect(t, u)) / nullif(len(list_distinct(list_concat(t, u))), 0), 0), 6) AS similarity FROM g, o ORDER BY similarity DESC, player_id LIMIT 10""",
     "search_basic": f"WITH {FOUND_SQL} SELECT {COLUMNS} FROM base WHERE {BASIC} {ORDER}",
     "search_threshold": f"WITH {FOUND_SQL} SELECT * FROM (SELECT {COLUMNS} FROM base WHERE position_group IN ('CM','DM','ST') AND minutes >= 600 {ORDER}) WHERE {ABLE}",
     "search_threshold_first": f"WITH {FOUND_SQL} SELECT {COLUMNS} FROM base WHERE position_group IN ('CM','DM','ST') AND minutes >= 600 AND {ABLE} {ORDER}",
-    "saved_search_rerun": f"WITH {FOUND_SQL} SELECT {COLUMNS} FROM base WHERE position_group IN ('ST','W') AND foot = 'left' AND years <= 27 AND minutes >= 0 {ORDER}",
+    "saved_search_rerun": f"WITH {FOUND_SQL} SELECT {COLUMNS} FROM base WHERE position_group = 'ST' AND foot = 'right' AND years <= 27 AND minutes >= 0 {ORDER}",
+    "saved_searches": f"""WITH pr AS (SELECT DISTINCT upper(trim(position_group)) AS g, foot FROM players WHERE upper(trim(position_group)) IN {B.GROUPS_SQL} AND foot IN ('left','right','both')),
+nm AS (SELECT *, CAST(row_number() OVER (ORDER BY g || ' ' || foot) AS INT) AS id FROM pr)
+SELECT id, g || ' ' || foot AS name, g AS positions, foot, 27 AS age_max, CASE WHEN g = 'ST' THEN '01/07/2025' END AS checked FROM nm WHERE foot <> 'left'""",
     "search_radar": f"""WITH {FOUND_SQL}, fd AS (SELECT DISTINCT player_id FROM (SELECT {COLUMNS} FROM base WHERE {BASIC} {ORDER})),
 rd AS (SELECT player_id, season, metric, max(percentile) AS percentile FROM player_percentiles WHERE player_id IN (SELECT player_id FROM fd)
   AND metric IN ({", ".join(f"'{k}'" for k in SEARCH_RADAR)}) GROUP BY ALL)
 SELECT player_id, season, string_agg(metric || '=' || percentile, ',' ORDER BY metric) AS radar FROM rd GROUP BY player_id, season""",
-    "players_list": f"""WITH {B.COMPETITIONS_SQL}, st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) * FROM player_season_stats)
+    "players_list": f"""WITH {B.COMPETITIONS_SQL}, st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) * FROM player_season_stats ORDER BY ingested_at DESC, minutes DESC, matches_played DESC NULLS LAST)
 SELECT player_id, full_name, season, competition_name, club_id, minutes, matches_played FROM st JOIN players USING (player_id) JOIN comps USING (competition_id)""",
-    "player_sheet": f"""SELECT DISTINCT season, peer_group_id, metric, round(raw_value, 6) AS raw_value, percentile FROM player_percentiles
-WHERE player_id = (SELECT min(player_id) FROM player_percentiles) AND metric IN ({SHEET}) AND split_part(peer_group_id, '|', 3) = season""",
-    "report_latest": """WITH st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) * FROM player_season_stats),
-la AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY season DESC, minutes DESC, competition_id, club_id) = 1)
-SELECT player_id, season, minutes, club_id, best FROM la LEFT JOIN (SELECT player_id, season, max(percentile) AS best FROM player_percentiles GROUP BY ALL) USING (player_id, season)""",
+    "player_sheet": f"""WITH {B.STATS_SQL}, {B.PEER_GROUPS_SQL}
+SELECT DISTINCT player_id, season, peer_group_id, metric, round(raw_value, 6) AS raw_value, percentile, label, sample_size FROM player_percentiles JOIN (SELECT peer_group_id, label, sample_size FROM pgs) USING (peer_group_id)
+WHERE metric IN ({SHEET}) AND split_part(peer_group_id, '|', 3) = season""",
+    "percentile_groups": f"""WITH {B.STATS_SQL}, {B.PEER_GROUPS_SQL}
+SELECT player_id, label, count(*) AS n, max(percentile) AS best, max(sample_size) AS sample_size FROM (SELECT DISTINCT * FROM player_percentiles) JOIN pgs USING (peer_group_id) GROUP BY player_id, label""",
+    "report_latest": f"""WITH {ENTRIES_SQL}, st AS (SELECT DISTINCT ON (player_id, season, competition_id, club_id) * FROM player_season_stats ORDER BY ingested_at DESC, minutes DESC, matches_played DESC NULLS LAST),
+la AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY season DESC, minutes DESC, competition_id, club_id) = 1),
+bm AS (SELECT player_id, season, metric, max(percentile) AS p FROM player_percentiles WHERE split_part(peer_group_id, '|', 3) = season AND metric IN ({SHEET}) GROUP BY ALL),
+ra AS (SELECT player_id, season, string_agg(metric || '=' || p, ',' ORDER BY metric) AS radar FROM bm GROUP BY player_id, season),
+rt AS (SELECT player_id, CAST(arg_max(confidence, (created_at, alias_id)) FILTER (WHERE confidence IS NOT NULL) AS DOUBLE) AS rating FROM player_aliases WHERE player_id IS NOT NULL GROUP BY player_id),
+ve AS (SELECT player_id, string_agg(shortlist_id || '=' || status, ',' ORDER BY shortlist_id, status) AS verdicts FROM (SELECT DISTINCT player_id, shortlist_id, status FROM en) GROUP BY player_id)
+SELECT player_id, season, minutes, club_id, minutes >= 600 AS eligible, radar, rating, coalesce(verdicts, '') AS verdicts FROM la LEFT JOIN ra USING (player_id, season) LEFT JOIN rt USING (player_id) LEFT JOIN ve USING (player_id)""",
+    "display_values": """SELECT player_id, CASE WHEN market_value_eur IS NOT NULL THEN CASE WHEN market_value_eur <= -50000 THEN '-' ELSE '' END || ((abs(market_value_eur) + 50000) // 100000) // 10 || '.' || ((abs(market_value_eur) + 50000) // 100000) % 10 || ' M€' END AS value,
+  strftime(contract_until, '%d/%m/%Y') AS until, CASE WHEN nationality IS NOT NULL THEN coalesce(array_to_string(nationality, ', '), '') END AS countries,
+  CASE upper(trim(position_group)) WHEN 'GK' THEN 'Gardiens' WHEN 'DC' THEN 'Défenseurs centraux' WHEN 'FB' THEN 'Latéraux' WHEN 'DM' THEN 'Milieux défensifs' WHEN 'CM' THEN 'Milieux centraux'
+    WHEN 'AM' THEN 'Milieux offensifs' WHEN 'W' THEN 'Ailiers' WHEN 'ST' THEN 'Attaquants' ELSE upper(trim(position_group)) END AS position FROM players""",
+    "notes_list": "SELECT alias_id, player_id, strftime(created_at, '%d/%m/%Y') AS day, CAST(floor(CAST(confidence AS DOUBLE) * 100 + 0.5) AS BIGINT) || ' %' AS rating FROM player_aliases WHERE player_id IS NOT NULL",
     "latest_known_value": """SELECT player_id, CAST(arg_max(confidence, (created_at, alias_id)) FILTER (WHERE confidence IS NOT NULL) AS DOUBLE) AS confidence
 FROM player_aliases WHERE player_id IS NOT NULL GROUP BY player_id""",
     "radar_points": f"""WITH r AS (SELECT player_id, season, metric, max(percentile) AS p FROM player_percentiles WHERE metric IN ({SHEET}) AND split_part(peer_group_id, '|', 3) = season GROUP BY ALL),
@@ -326,11 +305,13 @@ SELECT player_id, season, metric, round(cos(-pi() / 2 + 2 * pi() * i / n) * (gre
     "shortlist_counts": f"""WITH {ENTRIES_SQL} SELECT c.shortlist_id, count(e.player_id) AS n FROM (SELECT DISTINCT current_club_id AS shortlist_id FROM market_players WHERE current_club_id IS NOT NULL) c
 LEFT JOIN en e USING (shortlist_id) GROUP BY c.shortlist_id""",
     "shortlist_order": f"WITH {PLACED_SQL} SELECT shortlist_id, player_id, CAST(place AS INT) AS place, CAST(r AS INT) AS rank FROM ex",
+    "shortlist_detail": f"""WITH {PLACED_SQL} SELECT shortlist_id, CAST(place AS INT) AS place, player_id, full_name, position_group,
+  CASE status WHEN 'a_observer' THEN 'À observer' WHEN 'observe' THEN 'Observé' WHEN 'prioritaire' THEN 'Prioritaire' ELSE 'Écarté' END AS status FROM ex JOIN players USING (player_id)""",
     "shortlist_move": f"""WITH {PLACED_SQL}, mv AS (SELECT shortlist_id, min(player_id) AS player_id FROM en GROUP BY shortlist_id),
 sw AS (SELECT x.shortlist_id, x.place AS a, y.place AS b, x.r AS ra, y.r AS rb FROM ex x JOIN mv USING (shortlist_id, player_id) JOIN ex y ON y.shortlist_id = x.shortlist_id AND y.place = x.place - 1)
 SELECT ex.shortlist_id, ex.player_id, CAST(CASE WHEN sw.a IS NULL THEN ex.rank WHEN ex.place = sw.a THEN rb WHEN ex.place = sw.b THEN ra ELSE ex.r END AS INT) AS rank
 FROM ex LEFT JOIN sw USING (shortlist_id)""",
-    "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES),
+    "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in COUNTED),
     "last_run": "SELECT source, max(ingested_at) AS ingested_at, count(*) AS n FROM player_season_stats GROUP BY source ORDER BY 2 DESC, 1 LIMIT 1",
     "upsert_merge": f"""WITH {UPDATES_SQL}
 SELECT p.player_id, p.full_name, CASE WHEN u.player_id IS NOT NULL THEN h ELSE height_cm END AS height_cm, CASE WHEN u.player_id IS NOT NULL THEN v ELSE market_value_eur END AS market_value_eur,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.functions.scalars import age_years, clock_minutes, foot_of, formatted, lenient_date, looked_up, season_year, unit
+from turfline.functions.scalars import age_years, clock_minutes, formatted, looked_up, season_year, unit
 from turfline.functions.text import normalize_name
 from turfline.operators import events as E
 from turfline.operators import peers, vectors
 from turfline.plans import binding as B
-from turfline.registry import LINEUP_POSITIONS, MARKET_POSITIONS, METRIC_KEYS, by_label, registry
+from turfline.operators.jobs import market_records
+from turfline.registry import LINEUP_POSITIONS, METRIC_KEYS, registry
 from turfline.session import table
 
 
@@ -30,19 +31,14 @@ def season_years(spark: SparkSession, d: str) -> DataFrame:
 
 def position_map(spark: SparkSession, d: str) -> DataFrame:
     first = F.get("positions", F.lit(0))["position"]
-    rows = table(spark, d, "lineups").filter(F.size("positions") > 0).select(looked_up(first, by_label(LINEUP_POSITIONS), "position").alias("position_group"))
+    rows = table(spark, d, "lineups").filter(F.size("positions") > 0).select(looked_up(first, LINEUP_POSITIONS, "position").alias("position_group"))
     return rows.groupBy("position_group").agg(F.count("*").alias("n"))
 
 
 def market_normalise(spark: SparkSession, d: str) -> DataFrame:
     """Market records in the canonical form: position group, foot, dates, whole numbers, list of countries."""
-    m = table(spark, d, "market_players")
-    return m.select(
-        "market_player_id", looked_up(F.col("sub_position"), by_label(MARKET_POSITIONS), "sub_position").alias("position_group"), foot_of(F.col("foot")).alias("foot"),
-        lenient_date(F.col("date_of_birth")).alias("birth_date"), lenient_date(F.col("contract_expiration_date")).alias("contract_until"),
-        F.col("height_in_cm").cast("smallint").alias("height_cm"), F.col("market_value_in_eur").cast("bigint").alias("market_value_eur"),
-        F.when(F.col("country_of_citizenship").isNull(), 0).otherwise(1).alias("countries"),
-    )
+    rows = market_records(B.market(spark, d))
+    return rows.select("source_id", "raw_name", "position_group", "foot", "birth_date", "contract_until", "height_cm", "market_value_eur", F.array_join("nationality", ",").alias("countries"))
 
 
 def age(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +58,9 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def period_clock(spark: SparkSession, d: str) -> DataFrame:
-    """Periods of matches with their length."""
-    m = table(spark, d, "matches").select("match_id", F.explode("period_start").alias("period", "start"), "period_end")
-    return m.select("match_id", "period", F.round("start", 6).alias("start"), F.round(F.col("period_end")[F.col("period")] - F.col("start"), 6).alias("length"))
+    """Periods of matches with start and end, from their start and end events."""
+    m = E.period_clocks(B.clock_events(spark, d)).select("match_id", "last_period", F.explode("period_start").alias("period", "start"), "period_end")
+    return m.select("match_id", "last_period", "period", F.round("start", 6).alias("start"), F.round(F.col("period_end")[F.col("period")], 6).alias("end"))
 
 
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -130,10 +126,10 @@ def svd_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, d: str, vector: str) -> DataFrame:
+    """The ten most similar rows of other players for the first season of each player whose id is divisible by 50."""
     rows = B.vectors(spark, d)
-    first = vectors.earliest(rows, rows.agg(F.min("player_id")).first()[0] or 0)
-    found = vectors.similar_to(rows, first, vector, 10)
-    return found.select("player_id", "season", F.round("similarity", 6).alias("similarity"))
+    found = vectors.similar_to(rows, vectors.earliest(rows.filter("player_id % 50 = 0")), vector, 10)
+    return found.select("target", "player_id", "season", "place", F.round("similarity", 6).alias("similarity"))
 
 
 def style_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -145,9 +141,10 @@ def quality_similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar embeddings of each one whose id is divisible by 50."""
     rows = table(spark, d, "embeddings")
-    found = vectors.similar_to(rows, rows.filter("vec_id = 0"), "embedding", 10, row="vec_id")
-    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    found = vectors.similar_to(rows, rows.filter("vec_id % 50 = 0"), "embedding", 10, row="vec_id")
+    return found.select("target", "vec_id", "place", F.round("similarity", 6).alias("similarity"))
 
 
 QUERIES = {
@@ -160,7 +157,7 @@ QUERIES = {
 
 CLOCK = "CASE WHEN regexp_matches(trim({0}), '^[0-9]+:[0-9]+$') THEN CAST(split_part(trim({0}), ':', 1) AS INT) + CAST(split_part(trim({0}), ':', 2) AS INT) / 60.0 END"
 COUNT = "CAST(count(*) FILTER (WHERE {0}) AS DOUBLE)"
-COUNTS_SQL = f"""{B.EVENTS_SQL},
+COUNTERS_SQL = f"""
 play AS (SELECT e.*, s.value AS shot_value FROM ev e LEFT JOIN (SELECT match_id, event_id, value FROM ev WHERE type = 'Shot' AND period <= 4) s
   ON e.type = 'Pass' AND s.match_id = e.match_id AND s.event_id = e.event_id + 1 WHERE e.period <= 4),
 cnt AS (SELECT match_id, CAST(player_id AS INT) AS player_id,
@@ -175,8 +172,9 @@ cnt AS (SELECT match_id, CAST(player_id AS INT) AS player_id,
   {COUNT.format("type='Foul Committed' AND (k % 5 = 0 OR k % 11 = 0)")} AS yellow_cards, {COUNT.format("type='Foul Committed' AND k % 5 <> 0 AND k % 11 = 0")} AS red_cards
   FROM play GROUP BY match_id, player_id)
 """
+COUNTS_SQL = f"{B.EVENTS_SQL}, {COUNTERS_SQL}"
 PLAYED_SQL = f"""
-m AS (SELECT match_id, season, period_start AS ps, period_end AS pe, least(list_max(map_keys(period_end)), 4) AS last FROM matches),
+m AS (SELECT match_id, season, period_start AS ps, period_end AS pe, least(list_max(map_keys(period_end)), 4) AS last, competition_id, home_team, home_team_id, away_team, away_team_id FROM matches),
 l AS (SELECT row_number() OVER () AS rid, * FROM lineups WHERE len(positions) > 0),
 s AS (SELECT rid, l.match_id, unnest(positions) AS p, generate_subscripts(positions, 1) AS n FROM l),
 t AS (SELECT rid, n, m.last, coalesce(p.from_period, 1) AS fp, {CLOCK.format('p."from"')} AS f, {CLOCK.format('p."to"')} AS u, ps, pe,
@@ -185,13 +183,28 @@ c AS (SELECT rid, n, fp > last AS late, open, CASE WHEN fp > last THEN 0 ELSE
   greatest(coalesce(CASE WHEN open THEN coalesce(pe[last], 0) ELSE u END, 0) - coalesce(f, ps[fp], 0), 0) END AS mins FROM t),
 stops AS (SELECT rid, min(n) AS stop FROM c WHERE late OR open GROUP BY rid),
 mins AS (SELECT c.rid, sum(mins) AS minutes FROM c LEFT JOIN stops USING (rid) WHERE stop IS NULL OR n <= stop GROUP BY c.rid),
-app AS (SELECT l.match_id, l.team, l.player_id, l.player_name, l.country, m.season, minutes, CASE
+app AS (SELECT l.match_id, l.team, CASE WHEN l.team = home_team THEN home_team_id WHEN l.team = away_team THEN away_team_id END AS team_id, l.player_id, l.player_name, l.country, m.season, competition_id,
+  minutes, pos, CASE
   WHEN pos = 'Goalkeeper' THEN 'GK' WHEN pos IN ('Center Back','Left Center Back','Right Center Back') THEN 'DC'
   WHEN pos IN ('Left Back','Right Back','Left Wing Back','Right Wing Back') THEN 'FB' WHEN pos LIKE '%Defensive Midfield' THEN 'DM'
   WHEN pos IN ('Left Center Midfield','Right Center Midfield') THEN 'CM' WHEN pos LIKE '%Attacking Midfield' THEN 'AM'
   WHEN pos IN ('Left Midfield','Right Midfield','Left Wing','Right Wing') THEN 'W' WHEN pos LIKE '%Center Forward' THEN 'ST' END AS position_group
   FROM (SELECT *, positions[1].position AS pos FROM l) l JOIN m USING (match_id) JOIN mins USING (rid) WHERE minutes > 0)
 """
+#: Of the most frequent team and position of players, the smallest; and totals per player, season and competition.
+MODE = "SELECT player_id, season, competition_id, {0} AS v, row_number() OVER (PARTITION BY player_id, season, competition_id ORDER BY count(*) DESC, {0}) AS n FROM app WHERE {0} IS NOT NULL GROUP BY player_id, season, competition_id, {0}"
+GROUP_SQL = """CASE WHEN pos = 'Goalkeeper' THEN 'GK' WHEN pos IN ('Center Back','Left Center Back','Right Center Back') THEN 'DC'
+  WHEN pos IN ('Left Back','Right Back','Left Wing Back','Right Wing Back') THEN 'FB' WHEN pos LIKE '%Defensive Midfield' THEN 'DM'
+  WHEN pos IN ('Left Center Midfield','Right Center Midfield') THEN 'CM' WHEN pos LIKE '%Attacking Midfield' THEN 'AM'
+  WHEN pos IN ('Left Midfield','Right Midfield','Left Wing','Right Wing') THEN 'W' WHEN pos LIKE '%Center Forward' THEN 'ST' END"""
+TOTALS_SQL = f"""{B.MATCH_EVENTS_SQL}, {COUNTERS_SQL}, {PLAYED_SQL},
+mp AS ({MODE.format("pos")}), mt AS ({MODE.format("team_id")}),
+tot AS (SELECT *, {GROUP_SQL} AS position_group FROM (SELECT a.player_id, a.season, a.competition_id, sum(minutes) AS minutes, count(DISTINCT match_id) AS matches_played,
+  first(player_name ORDER BY match_id, player_name) FILTER (WHERE player_name IS NOT NULL) AS player_name, first(country ORDER BY match_id, country) FILTER (WHERE country IS NOT NULL) AS country,
+  any_value(mt.v) AS team_id, any_value(mp.v) AS pos, {", ".join(f"sum(coalesce(cnt.{c}, 0)) AS {c}" for c in E.COUNTERS)}
+  FROM app a LEFT JOIN cnt USING (match_id, player_id) LEFT JOIN mp ON mp.player_id = a.player_id AND mp.season = a.season AND mp.competition_id = a.competition_id AND mp.n = 1
+  LEFT JOIN mt ON mt.player_id = a.player_id AND mt.season = a.season AND mt.competition_id = a.competition_id AND mt.n = 1 GROUP BY a.player_id, a.season, a.competition_id) WHERE pos <> 'Goalkeeper')
+"""
 RATE = {k: f"{k} / (minutes / 90)" for k in E.COUNTERS} | {
     "xg_per_shot": "CASE WHEN shots > 0 THEN xg / shots ELSE 0 END", "np_goals_minus_npxg": "(np_goals - npxg) / (minutes / 90)",
     "dribble_success_rate": "CASE WHEN dribbles_attempted > 0 THEN dribbles_completed / dribbles_attempted ELSE 0 END",
@@ -207,12 +220,10 @@ scl AS (SELECT lng.*, CASE WHEN sd > 0 THEN v / sd ELSE v END AS x FROM lng JOIN
 
 
 def _similar_sql(vector: str) -> str:
-    return f"""WITH {B.VECTORS_SQL},
-target AS (SELECT player_id, CAST({vector} AS DOUBLE[]) AS t FROM vecs WHERE player_id = (SELECT min(player_id) FROM vecs) ORDER BY season LIMIT 1),
-sim AS (SELECT v.player_id, v.season, list_dot_product(CAST({vector} AS DOUBLE[]), t) /
-  (sqrt(list_dot_product(CAST({vector} AS DOUBLE[]), CAST({vector} AS DOUBLE[]))) * sqrt(list_dot_product(t, t))) AS similarity
-  FROM vecs v, target WHERE v.player_id <> target.player_id)
-SELECT player_id, season, round(similarity, 6) AS similarity FROM sim WHERE NOT isnan(similarity) ORDER BY round(similarity, 9) DESC, player_id, season LIMIT 10"""
+    return f"""WITH {B.VECTORS_SQL}, vv AS (SELECT player_id, season, CAST({vector} AS DOUBLE[]) AS v FROM vecs),
+target AS (SELECT DISTINCT ON (player_id) player_id AS target, v AS t FROM vv WHERE player_id % 50 = 0 ORDER BY player_id, season),
+sim AS (SELECT target, player_id, season, round(list_dot_product(v, t) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(t, t))), 9) AS c FROM vv, target WHERE player_id <> target)
+SELECT target, player_id, season, CAST(row_number() OVER w AS INT) AS place, round(c, 6) AS similarity FROM sim WHERE NOT isnan(c) WINDOW w AS (PARTITION BY target ORDER BY c DESC, player_id, season) QUALIFY row_number() OVER w <= 10"""
 
 
 ORACLES = {
@@ -226,40 +237,32 @@ SELECT CASE WHEN pos = 'Goalkeeper' THEN 'GK' WHEN pos IN ('Center Back','Left C
   WHEN pos IN ('Left Center Midfield','Right Center Midfield') THEN 'CM' WHEN pos LIKE '%Attacking Midfield' THEN 'AM'
   WHEN pos IN ('Left Midfield','Right Midfield','Left Wing','Right Wing') THEN 'W' WHEN pos LIKE '%Center Forward' THEN 'ST' END AS position_group, count(*) AS n
 FROM raw GROUP BY 1""",
-    "market_normalise": """SELECT market_player_id, CASE sub_position WHEN 'Goalkeeper' THEN 'GK' WHEN 'Centre-Back' THEN 'DC' WHEN 'Left-Back' THEN 'FB' WHEN 'Right-Back' THEN 'FB'
+    "market_normalise": f"""SELECT CAST(market_player_id AS VARCHAR) AS source_id, name AS raw_name,
+  CASE sub_position WHEN 'Goalkeeper' THEN 'GK' WHEN 'Centre-Back' THEN 'DC' WHEN 'Left-Back' THEN 'FB' WHEN 'Right-Back' THEN 'FB'
   WHEN 'Defensive Midfield' THEN 'DM' WHEN 'Central Midfield' THEN 'CM' WHEN 'Attacking Midfield' THEN 'AM' WHEN 'Second Striker' THEN 'AM' WHEN 'Centre-Forward' THEN 'ST'
   ELSE CASE WHEN sub_position IS NOT NULL THEN 'W' END END AS position_group,
-  CASE WHEN lower(trim(foot)) IN ('left','right','both') THEN lower(trim(foot)) END AS foot,
-  CASE WHEN regexp_matches(date_of_birth, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(left(date_of_birth, 10) AS DATE)
-    WHEN regexp_matches(date_of_birth, '^[0-9]{4}$') THEN make_date(CAST(date_of_birth AS INT), 1, 1) END AS birth_date,
+  CASE WHEN lower(trim(foot)) IN ('left','right','both') THEN lower(trim(foot)) END AS foot, {B.BORN_SQL} AS birth_date,
   TRY_CAST(left(contract_expiration_date, 10) AS DATE) AS contract_until, CAST(trunc(height_in_cm) AS SMALLINT) AS height_cm, CAST(trunc(market_value_in_eur) AS BIGINT) AS market_value_eur,
-  CASE WHEN country_of_citizenship IS NULL THEN 0 ELSE 1 END AS countries FROM market_players""",
+  coalesce(country_of_citizenship, '') AS countries FROM market_players""",
     "age_years": f"SELECT player_id, CAST(date_part('year', age(DATE '{B.AS_OF}', birth_date)) AS INT) AS age FROM players",
     "format_metric": """SELECT player_id, season, peer_group_id, metric, CASE WHEN metric = 'dribble_success_rate' THEN CAST(CAST(floor(raw_value * 100 + 0.5) AS BIGINT) AS VARCHAR) || ' %'
   ELSE printf('%.2f', floor(raw_value * 100 + 0.5) / 100) END AS shown FROM (SELECT DISTINCT * FROM player_percentiles) WHERE raw_value IS NULL OR NOT isnan(raw_value)""",
     "json_extract": "SELECT event_type, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS sum_k, count(props->>'k') AS n FROM events GROUP BY event_type",
-    "period_clocks": """SELECT match_id, p AS period, round(period_start[p], 6) AS start, round(period_end[p] - period_start[p], 6) AS length
+    "period_clocks": """SELECT match_id, CAST(least(list_max(map_keys(period_end)), 4) AS INT) AS last_period, p AS period, round(period_start[p], 6) AS start, round(period_end[p], 6) AS "end"
 FROM (SELECT match_id, unnest(map_keys(period_start)) AS p, period_start, period_end FROM matches)""",
     "event_counts": f"WITH {COUNTS_SQL} SELECT match_id, player_id, {', '.join(f'round({c}, 6) AS {c}' for c in E.COUNTERS)} FROM cnt",
     "per90_metrics": f"""WITH {COUNTS_SQL}, mins AS (SELECT CAST(player_id AS INT) AS player_id, count(*) * 10.0::DOUBLE AS minutes FROM ev WHERE period <= 4 GROUP BY 1),
 tot AS (SELECT player_id, minutes, {', '.join(f'sum({c}) AS {c}' for c in E.COUNTERS)} FROM cnt JOIN mins USING (player_id) GROUP BY ALL)
 SELECT player_id, minutes, {', '.join(f'round({v}, 9) AS {k}' for k, v in RATE.items())} FROM tot""",
     "stint_minutes": f"WITH {PLAYED_SQL} SELECT match_id, team, player_id, position_group, round(minutes, 6) AS minutes FROM app",
-    "season_totals": f"""WITH {PLAYED_SQL},
-modes AS (SELECT player_id, season, position_group, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, position_group) AS n FROM app GROUP BY player_id, season, position_group)
+    "season_totals": f"""WITH {PLAYED_SQL}, mp AS (SELECT player_id, season, pos, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, pos) AS n FROM app WHERE pos IS NOT NULL GROUP BY player_id, season, pos),
+mt AS (SELECT player_id, season, team_id, row_number() OVER (PARTITION BY player_id, season ORDER BY count(*) DESC, team_id) AS n FROM app WHERE team_id IS NOT NULL GROUP BY player_id, season, team_id)
 SELECT a.player_id, a.season, round(sum(minutes), 6) AS minutes, count(DISTINCT match_id) AS matches_played,
   first(player_name ORDER BY match_id, player_name) FILTER (WHERE player_name IS NOT NULL) AS player_name, first(country ORDER BY match_id, country) FILTER (WHERE country IS NOT NULL) AS country,
-  any_value(m.position_group) AS position_group
-FROM app a JOIN modes m ON a.player_id = m.player_id AND a.season = m.season AND m.n = 1 GROUP BY a.player_id, a.season""",
+  any_value(mt.team_id) AS team_id, any_value(mp.pos) AS position, any_value({GROUP_SQL.replace("pos ", "mp.pos ")}) AS position_group
+FROM app a LEFT JOIN mp ON a.player_id = mp.player_id AND a.season = mp.season AND mp.n = 1 LEFT JOIN mt ON a.player_id = mt.player_id AND a.season = mt.season AND mt.n = 1 GROUP BY a.player_id, a.season""",
     "peer_percentiles": f"WITH {B.STATS_SQL}, {B.MEMBERS_SQL} SELECT player_id, season, peer_group_id, metric, raw_value + 0.0 AS raw_value, percentile FROM pct",
-    "peer_groups": f"""WITH {B.STATS_SQL}, mem AS (SELECT DISTINCT player_id, season, position_group, tier FROM stats WHERE minutes >= 600),
-cen AS (SELECT DISTINCT position_group, tier, season AS centre FROM mem)
-SELECT m.position_group || '|tier' || m.tier || '|' || centre AS peer_group_id,
-  CASE m.position_group WHEN 'GK' THEN 'Gardiens' WHEN 'DC' THEN 'Défenseurs centraux' WHEN 'FB' THEN 'Latéraux' WHEN 'DM' THEN 'Milieux défensifs' WHEN 'CM' THEN 'Milieux centraux'
-    WHEN 'AM' THEN 'Milieux offensifs' WHEN 'W' THEN 'Ailiers' ELSE 'Attaquants' END || ' · Niveau ' || m.tier || ' · ' || centre AS label,
-  m.position_group, centre AS season, 600 AS min_minutes, CAST(count(*) AS INT) AS sample_size
-FROM mem m JOIN cen c ON m.position_group = c.position_group AND m.tier = c.tier AND abs(CAST(left(m.season, 4) AS INT) - CAST(left(centre, 4) AS INT)) <= 2
-GROUP BY m.position_group, m.tier, centre""",
+    "peer_groups": f"WITH {B.STATS_SQL}, {B.PEER_GROUPS_SQL} SELECT * FROM pgs",
     "own_group_percentiles": """WITH o AS (SELECT player_id, season, metric, max(percentile) AS percentile FROM player_percentiles WHERE split_part(peer_group_id, '|', 3) = season GROUP BY ALL)
 SELECT player_id, season, string_agg(metric || '=' || percentile, ',' ORDER BY metric || '=' || percentile) AS percentiles FROM o GROUP BY player_id, season""",
     "scaled_metrics": f"WITH {SCALED_SQL} SELECT player_id, season, competition_id, club_id, metric, round(x, 5) + 0.0 AS scaled FROM scl",
@@ -269,8 +272,7 @@ SELECT player_id, season, competition_id, club_id, round(max(CASE WHEN metric =
 FROM scl JOIN nrm USING (player_id, season, competition_id, club_id) GROUP BY ALL""",
     "style_similarity_topk": _similar_sql("style_vec"),
     "quality_similarity_topk": _similar_sql("quality_vec"),
-    "embedding_topk": """WITH t AS (SELECT CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, label, list_dot_product(CAST(embedding AS DOUBLE[]), t) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(t, t))) AS c
-  FROM embeddings, t WHERE vec_id <> 0)
-SELECT vec_id, label, round(c, 6) AS similarity FROM s ORDER BY round(c, 9) DESC, vec_id LIMIT 10""",
+    "embedding_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS target, e.vec_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 9) AS c FROM e, e q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT target, vec_id, CAST(row_number() OVER w AS INT) AS place, round(c, 6) AS similarity FROM s WINDOW w AS (PARTITION BY target ORDER BY c DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
 }

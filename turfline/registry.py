@@ -15,22 +15,23 @@ POSITION_LABELS = {
     "GK": "Gardiens", "DC": "Défenseurs centraux", "FB": "Latéraux", "DM": "Milieux défensifs",
     "CM": "Milieux centraux", "AM": "Milieux offensifs", "W": "Ailiers", "ST": "Attaquants",
 }
-# Position labels of line-ups, by group.
+# Group of each position label of line-ups.
 LINEUP_POSITIONS = {
-    "GK": ["Goalkeeper"],
-    "DC": ["Center Back", "Left Center Back", "Right Center Back"],
-    "FB": ["Left Back", "Right Back", "Left Wing Back", "Right Wing Back"],
-    "DM": ["Center Defensive Midfield", "Left Defensive Midfield", "Right Defensive Midfield"],
-    "CM": ["Left Center Midfield", "Right Center Midfield"],
-    "AM": ["Center Attacking Midfield", "Left Attacking Midfield", "Right Attacking Midfield"],
-    "W": ["Left Midfield", "Right Midfield", "Left Wing", "Right Wing"],
-    "ST": ["Center Forward", "Left Center Forward", "Right Center Forward"],
-}
-# Position labels of market records, by group.
+    "Goalkeeper": "GK", "Center Back": "DC", "Left Center Back": "DC", "Right Center Back": "DC",
+    "Left Back": "FB", "Right Back": "FB", "Left Wing Back": "FB", "Right Wing Back": "FB",
+    "Center Defensive Midfield": "DM", "Left Defensive Midfield": "DM", "Right Defensive Midfield": "DM",
+    "Left Center Midfield": "CM", "Right Center Midfield": "CM",
+    "Center Attacking Midfield": "AM", "Left Attacking Midfield": "AM", "Right Attacking Midfield": "AM",
+    "Left Midfield": "W", "Right Midfield": "W", "Left Wing": "W", "Right Wing": "W",
+    "Center Forward": "ST", "Left Center Forward": "ST", "Right Center Forward": "ST",
+}
+# Group of each position label of market records.
 MARKET_POSITIONS = {
-    "GK": ["Goalkeeper"], "DC": ["Centre-Back"], "FB": ["Left-Back", "Right-Back"], "DM": ["Defensive Midfield"], "CM": ["Central Midfield"],
-    "AM": ["Attacking Midfield", "Second Striker"], "W": ["Left Midfield", "Right Midfield", "Left Winger", "Right Winger"], "ST": ["Centre-Forward"],
+    "Goalkeeper": "GK", "Centre-Back": "DC", "Left-Back": "FB", "Right-Back": "FB", "Defensive Midfield": "DM", "Central Midfield": "CM",
+    "Attacking Midfield": "AM", "Second Striker": "AM", "Left Midfield": "W", "Right Midfield": "W", "Left Winger": "W", "Right Winger": "W", "Centre-Forward": "ST",
 }
+# Labels of the states of a list entry.
+STATUS_LABELS = {"a_observer": "À observer", "observe": "Observé", "prioritaire": "Prioritaire", "ecarte": "Écarté"}
 # Tiers of the leagues of the season-stat provider.
 LEAGUE_TIERS = {"ENG-Premier League": 1, "ESP-La Liga": 1, "GER-Bundesliga": 1, "ITA-Serie A": 1, "FRA-Ligue 1": 1}
 
@@ -80,8 +81,3 @@ SHEET_RADAR = ["goals", "xg", "key_passes", "xa", "dribbles_completed", "tackles
 def registry(spark: SparkSession) -> DataFrame:
     """The catalogue as a table of 23 rows."""
     return spark.createDataFrame([tuple(m) for m in METRICS], "key string, label string, family string, per90 boolean, higher_is_better boolean, format string")
-
-
-def by_label(groups: dict[str, list[str]]) -> dict[str, str]:
-    """Label to group."""
-    return {label: group for group, labels in groups.items() for label in labels}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that all executors share, as the cluster names it; a local session that names none gets one of its own."""
+    """The folder that all executors share, as the cluster names it.
+
+    A local session that names none gets one of its own, removed when Python ends; on a cluster nothing takes its place.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="turfline-shared-")
+    if named is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        if not hasattr(sc, "_turfline_folder"):
+            sc._turfline_folder = tempfile.mkdtemp(prefix="turfline-shared-")
+            atexit.register(shutil.rmtree, sc._turfline_folder, ignore_errors=True)
+        named = sc._turfline_folder
     return named
 
 
@@ -70,6 +78,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,23 @@ def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(struct(ddl)).json(path, multiLine=True)
 
 
+def cached_json(spark: SparkSession, path: str, fetch: Callable[[], list[dict]], ddl: str) -> DataFrame:
+    """The JSON file at ``path``; if there is none, ``fetch`` gives its records and they are written there first, raw.
+
+    What one call fetches, a match or a list of matches, is small; the transformation is run again from the files.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        staged = hadoop.Path(f"{path}.part")
+        stream = fs.create(staged, True)
+        stream.write(bytearray(json.dumps(fetch(), ensure_ascii=False).encode()))
+        stream.close()
+        fs.rename(staged, target)
+    return read_json(spark, path, ddl)
+
+
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, MATCHES)
 
