@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turfline.llm import qdigest as Q
+from turfline.llm import similarity as S
 from turfline.llm.mixing import mix, plan, sized_documents, token_counts, tokenizer, TOKENIZER
 from turfline.llm.similarity import nearest, similar_pairs
 from turfline.llm.survivorship import player_fields, survivors
@@ -117,34 +118,51 @@ def brute_neighbours(rows, k=5):
     return out
 
 
-def test_neighbours_against_brute_force(spark):
+def ranked(frame):
+    got = {}
+    for r in sorted(frame.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["kind"], r["player_id"], r["season"]), []).append((r["other_id"], r["other_season"]))
+    return got
+
+
+@pytest.mark.parametrize("k", [1, 5, 10])
+def test_neighbours_against_brute_force(spark, k):
     rng = np.random.default_rng(4)
     rows = [("a", i, "s", [float(np.float32(x)) for x in rng.normal(size=6)], 0) for i in range(120)]
     rows += [("a", 200 + i, f"s{i % 2}", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 0) for i in range(40)]  # copies held by many
-    rows += [("a", 5, f"t{i}", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 0) for i in range(8)]  # and often by one
+    rows += [("a", 5, f"t{i:02}", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 0) for i in range(14)]  # and often by one
+    rows += [("a", 210, f"u{i:02}", [1.0, 0.001 * i, 0.0, 0.0, 0.0, 0.0], 0) for i in range(1, 13)]  # one owner of copies holds much that is near
     rows += [("b", i, "s", [float(i + 1), 1.0], 0) for i in range(4)] + rows[:10]
     rows += [("a", 300, "s", None, 0), ("a", 301, "s", [], 0), ("a", 302, "s", [0.0] * 6, 0), ("a", 303, "s", [float("nan")] * 6, 0), ("a", 304, "s", [None, 1.0], 0), ("a", None, "s", [1.0], 0), ("a", 305, "s", [math.inf], 0), ("a", 306, "s", [0.5, 0.5], 0)]
     df = spark.createDataFrame(rows, VECTORS)
-    got = {}
-    for r in sorted(nearest(df).collect(), key=lambda r: r["rank"]):
-        got.setdefault((r["kind"], r["player_id"], r["season"]), []).append((r["other_id"], r["other_season"]))
-    assert got == brute_neighbours(rows)
-    pairs = {(k, *min((p, s), x), *max((p, s), x)) for (k, p, s), near in got.items() for x in near}
-    assert {tuple(r) for r in similar_pairs(df).collect()} == pairs
-    assert similar_pairs(df.limit(0)).count() == 0
+    got = ranked(nearest(df, k))
+    assert got == brute_neighbours(rows, k)
+    pairs = {(kind, *min((p, s), x), *max((p, s), x)) for (kind, p, s), near in got.items() for x in near}
+    assert {tuple(r) for r in similar_pairs(df, k).collect()} == pairs
+    assert similar_pairs(df.limit(0), k).count() == 0
 
 
-def test_recall_over_many_lists(spark):
+def test_recall_where_a_tenth_is_visited(spark):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(20_000, 12)).astype(np.float32)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 30_000)] + rng.normal(size=(30_000, 16)) * 0.6).astype(np.float32)
     df = spark.createDataFrame([("a", i, "s", v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
-    got = {(r["player_id"], r["other_id"]) for r in nearest(df).collect()}
+    got = {(r["player_id"], r["other_id"]) for r in nearest(df, 5, group_probes=3, list_probes=14).collect()}
+    assert 3 / S.groups_of(30_000) * 14 / (S.GROUP_ROWS / S.LIST_ROWS) < 0.1
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
-    asked = np.arange(0, 20_000, 50)
+    asked = np.arange(0, 30_000, 50)
     similar = unit[asked] @ unit.T
     similar[np.arange(len(asked)), asked] = -2
     true = np.argsort(-similar, axis=1)[:, :5]
-    assert np.mean([(int(a), int(t)) in got for a, row in zip(asked, true) for t in row]) >= 0.9
+    recall = np.mean([(int(a), int(t)) in got for a, row in zip(asked, true) for t in row])
+    assert recall >= 0.9, recall
+
+
+def test_blocks_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    rows = [("a", i % 90, f"s{i}", [float(np.float32(x)) for x in rng.normal(size=5)], 0) for i in range(350)]
+    assert ranked(nearest(spark.createDataFrame(rows, VECTORS))) == brute_neighbours(rows)
 
 
 DOCS = "doc_id bigint, text string, source string, tokens int, copy int"

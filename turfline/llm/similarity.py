@@ -1,9 +1,9 @@
 """The most similar vectors of every vector: inverted lists, product-quantised residuals, exact reranking.
 
-Centroids are trained in two levels (groups, and lists within a group) on a bounded sample; every vector is then assigned
-to a list and its residual quantised. A query visits its nearest lists; there, asymmetric distance tables pick candidates
-and the exact cosine in double precision ranks them. Lists of a group are processed together, so that a query is shipped
-once per group and not once per list, and groups are cut into blocks of bounded size.
+Vectors are put into groups by centroids trained on a bounded sample, and groups are cut into blocks of bounded size. Each
+block is an inverted file of its own: list centroids trained on its rows, residuals quantised by shared codebooks. A query
+goes to its nearest groups, visits the nearest lists of their blocks, where asymmetric distance tables pick candidates, and
+the exact cosine in double precision ranks them. No centroid of a list leaves its task, so lists grow with the vectors.
 """
 
 from __future__ import annotations
@@ -18,20 +18,19 @@ from pyspark.sql import functions as F
 
 from turfline.session import cut
 
-#: Documented bounds of the index: rows of the training sample per kind, rows per group aimed at, lists per group, and
-#: most groups. Everything else covers all rows.
-TRAIN_ROWS, GROUP_ROWS, LISTS, MOST_GROUPS = 32_768, 8_192, 16, 4_096
-#: Dimensions of a sub-quantizer, entries of each, lists visited per query, candidates reranked per list, rows of a block.
+#: Documented bounds of the training: rows of the sample per kind at least, sampled rows a group, and most groups; groups hold
+#: about GROUP_ROWS until then and more beyond. Everything else covers all rows.
+TRAIN_ROWS, TRAIN_EACH, GROUP_ROWS, MOST_GROUPS = 32_768, 40, 8_192, 4_096
+#: Rows of a list, groups and lists of a block visited per query. On the tables of scale 1 a query sees 11 % of the rows.
+LIST_ROWS, GROUP_PROBES, LIST_PROBES = 64, 5, 20
+#: Dimensions of a sub-quantizer, entries of each, candidates kept per list and reranked per query, rows of a block.
 #: Measured on the test vectors, whose residuals are nearly isotropic, 4 dimensions lose the neighbours and 2 keep them.
-PART, ENTRIES, PROBES, RERANK, BLOCK = 2, 256, 48, 24, 16_384
-#: Copies of one vector kept as candidates: enough for 5 rows of other players, whoever asks.
-COPIES = 30
+PART, ENTRIES, PER_LIST, RERANK, BLOCK = 2, 256, 24, 80, 16_384
 
 
 class Index(NamedTuple):
-    """Of one kind: list centroids (unit length or less), group of each list, and codebooks of the residuals' parts."""
+    """Of one kind: centroids of the groups and codebooks of the parts of residuals."""
 
-    centroids: np.ndarray
     groups: np.ndarray
     codebooks: np.ndarray
 
@@ -64,24 +63,33 @@ def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def train(sample: np.ndarray, rows: int, seed: int = 7) -> Index:
-    """Fit an index for ``rows`` vectors on a sample of unit vectors."""
-    wanted = int(min(MOST_GROUPS, max(1, -(-rows // GROUP_ROWS))))
-    tops = kmeans(sample, wanted, 8, seed)
-    of = nearest_centroid(sample, tops)
-    centroids, groups = [], []
-    for g in range(len(tops)):
-        own = sample[of == g]
-        lists = kmeans(own, LISTS, 8, seed + g) if len(own) else tops[g : g + 1]
-        centroids.append(lists)
-        groups += [g] * len(lists)
-    lists = np.concatenate(centroids).astype(np.float32)
-    residual = sample - lists[nearest_centroid(sample, lists)]
+    """Fit the groups of ``rows`` vectors and the codebooks on a sample of unit vectors."""
+    groups = kmeans(sample, groups_of(rows), 8, seed)
+    # residuals as lists of a block leave them, on as many rows as a block has
+    part = sample[:GROUP_ROWS]
+    lists = kmeans(part, max(1, len(part) // LIST_ROWS), 6, seed)
+    residual = part - lists[nearest_centroid(part, lists)]
     books = np.zeros((sample.shape[1] // PART, ENTRIES, PART), np.float32)
     for m in range(len(books)):
         book = kmeans(residual[:, m * PART : (m + 1) * PART], ENTRIES, 8, seed + m)
         books[m, : len(book)] = book
         books[m, len(book) :] = book[0]
-    return Index(lists, np.array(groups, np.int32), books)
+    return Index(groups, books)
+
+
+def groups_of(rows: int) -> int:
+    return int(min(MOST_GROUPS, max(1, -(-rows // GROUP_ROWS))))
+
+
+def nearest_few(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centroids of each row, in no order; a bounded part of the distances at a time."""
+    n, half = min(n, len(c)), (c * c).sum(axis=1) / 2
+    out = np.empty((len(x), n), np.int32)
+    step = max(1, 4_000_000 // len(c))
+    for i in range(0, len(x), step):
+        near = x[i : i + step] @ c.T - half
+        out[i : i + step] = np.argpartition(near, len(c) - n, axis=1)[:, len(c) - n :]
+    return out
 
 
 def unit(raw: np.ndarray, width: int) -> np.ndarray:
@@ -102,103 +110,142 @@ def stacked(values: pd.Series, dim: int) -> np.ndarray:
 
 
 def block_search(
-    queries: np.ndarray, owners: np.ndarray, single: np.ndarray, probes: np.ndarray, members: np.ndarray, players: np.ndarray,
-    order: np.ndarray, lists: np.ndarray, codes: np.ndarray, index: Index, width: int, k: int,
+    queries: np.ndarray, owners: np.ndarray, single: np.ndarray, members: np.ndarray, held: np.ndarray, players: np.ndarray, order: np.ndarray,
+    index: Index, width: int, k: int, probes: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, member number and exact cosine of the best members of other owners in the probed lists.
+    """Query number, row number and exact cosine of the best rows of other owners in the nearest lists of a block.
 
-    ``probes`` are pairs (query number, list). ``order`` breaks ties between members.
+    Members are different vectors, of which each is ``held`` by so many rows, one vector's rows after the other's; ``players``
+    own the rows and ``order`` breaks their ties. A query of one owner gets its k best. One that several own (``single`` is
+    false) gets the 2 k best of which no player has more than k, among which each owner has its k best.
     """
-    q_unit = unit(queries, width)
+    x, q_unit = unit(members, width), unit(queries, width)
+    lists = kmeans(x, max(1, -(-len(x) // LIST_ROWS)), 6, 7)
+    home = nearest_centroid(x, lists)
+    residual = x - lists[home]
+    codes = [nearest_centroid(residual[:, m * PART : (m + 1) * PART], book) for m, book in enumerate(index.codebooks)]
+    start_of = np.cumsum(held) - held
+    sole = np.where(np.minimum.reduceat(players, start_of) == np.maximum.reduceat(players, start_of), players[start_of].astype(np.int64), np.iinfo(np.int64).min)  # of a vector that one player holds
+
+    def rows_of_vectors(q: np.ndarray, m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = held[m]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(q, n), np.repeat(start_of[m], n) + within, np.repeat(c, n)
+
+    rows_of = np.argsort(home, kind="stable")
+    first = np.searchsorted(home[rows_of], np.arange(len(lists) + 1))
     q64, m64 = queries.astype(np.float64), members.astype(np.float64)
-    q_norm, m_norm = np.sqrt((q64 * q64).sum(axis=1)), np.sqrt((m64 * m64).sum(axis=1))
-    by_list = np.argsort(probes[:, 1], kind="stable")
-    starts = np.flatnonzero(np.diff(probes[by_list, 1], prepend=-1))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s, e in zip(starts, [*starts[1:], len(by_list)], strict=True):
-        which = probes[by_list[s], 1]
-        own = np.flatnonzero(lists == which)
-        if not len(own):
-            continue
-        asking = probes[by_list[s:e], 0]
-        # rows of one player here: few are reranked along and dropped, many are masked
-        here, held = np.unique(players[own], return_counts=True)
-        extra, home = int(held.max()), index.centroids[which]
-        step = int(np.clip(2**18 // len(own), 16, 1024))  # the scores of a step stay in the processor's cache
-        for i in range(0, len(asking), step):
-            q = asking[i : i + step]
-            x = q_unit[q]
+    q64, m_norm = q64 / np.sqrt((q64 * q64).sum(axis=1))[:, None], np.sqrt((m64 * m64).sum(axis=1))
+    per_list, rerank = max(PER_LIST, 2 * k), max(RERANK, 8 * k)
+    out = []
+    asking = np.flatnonzero(single)
+    for start in range(0, len(asking), 4_096):
+        part = asking[start : start + 4_096]
+        seen = nearest_few(q_unit[part], lists, probes)
+        slots = seen.shape[1]
+        value = np.full((len(part), slots * per_list), -np.inf, np.float32)
+        found = np.zeros(value.shape, np.int32)
+        pairs = np.argsort(seen.ravel(), kind="stable")
+        ends = np.searchsorted(seen.ravel()[pairs], np.arange(len(lists) + 1))
+        for which in range(len(lists)):
+            own, at = rows_of[first[which] : first[which + 1]], pairs[ends[which] : ends[which + 1]]
+            if not len(own) or not len(at):
+                continue
+            q = at // slots
+            of = q_unit[part[q]]
             score = np.empty((len(own), len(q)), np.float32)
-            score[:] = x @ home
+            score[:] = lists[which] @ of.T
             for m, book in enumerate(index.codebooks):  # the asymmetric distance table of a part, one row per entry
-                table = book @ x[:, m * PART : (m + 1) * PART].T
-                score += table[codes[own, m]]
-            if extra > RERANK:
-                mine = np.flatnonzero(single[q] & np.isin(owners[q], here))
-                score[:, mine] = np.where(players[own][:, None] == owners[q][mine][None, :], -np.inf, score[:, mine])
-            # single owners need k rows; copies held by several need as many as one of them may own
-            r = RERANK + min(extra, RERANK) if single[q].all() else RERANK + COPIES + min(extra, RERANK)
-            if len(own) > r:
-                top = np.argpartition(np.ascontiguousarray(score.T), len(own) - r, axis=1)[:, len(own) - r :]
-            else:
-                top = np.broadcast_to(np.arange(len(own)), score.T.shape)
-            picked = own[top]  # (queries, r)
-            cosine = np.einsum("qd,qrd->qr", q64[q], m64[picked]) / (q_norm[q][:, None] * m_norm[picked])
-            cosine[single[q][:, None] & (players[picked] == owners[q][:, None])] = -np.inf
-            enough = min(k if single[q].all() else k + COPIES, picked.shape[1])
-            least = np.partition(cosine, picked.shape[1] - enough, axis=1)[:, picked.shape[1] - enough]
-            keep = (cosine >= least[:, None]) & (cosine > -np.inf)  # equal ones stay for the final order
-            rows = np.broadcast_to(q[:, None], picked.shape)[keep]
-            out.append((rows, picked[keep], cosine[keep]))
+                score += (book @ of[:, m * PART : (m + 1) * PART].T)[codes[m][own]]
+            mine = np.flatnonzero(np.isin(owners[part[q]], sole[own]))
+            score[:, mine] = np.where(sole[own][:, None] == owners[part[q]][mine][None, :], -np.inf, score[:, mine])
+            score = np.ascontiguousarray(score.T)
+            top = np.argpartition(score, len(own) - per_list, axis=1)[:, len(own) - per_list :] if len(own) > per_list else np.broadcast_to(np.arange(len(own)), score.shape)
+            place = (at % slots)[:, None] * per_list + np.arange(top.shape[1])
+            value[q[:, None], place], found[q[:, None], place] = np.take_along_axis(score, top, axis=1), own[top]
+        if value.shape[1] > rerank:
+            top = np.argpartition(value, value.shape[1] - rerank, axis=1)[:, value.shape[1] - rerank :]
+            value, found = np.take_along_axis(value, top, axis=1), np.take_along_axis(found, top, axis=1)
+        cosine = np.empty(value.shape)
+        for i in range(0, len(part), 512):
+            cosine[i : i + 512] = np.einsum("qd,qrd->qr", q64[part[i : i + 512]], m64[found[i : i + 512]]) / m_norm[found[i : i + 512]]
+        cosine[value == -np.inf] = -np.inf
+        least = np.partition(cosine, cosine.shape[1] - min(k, cosine.shape[1]), axis=1)[:, cosine.shape[1] - min(k, cosine.shape[1])]
+        i, j = np.nonzero((cosine >= least[:, None]) & (cosine > -np.inf))  # equal ones stay for the order of their rows
+        q, m, c = rows_of_vectors(part[i], found[i, j], cosine[i, j])
+        other = players[m] != owners[q]
+        q, m, c = q[other], m[other], c[other]
+        few = place_in(q, np.lexsort((order[m], -c, q))) < k
+        out.append((q[few], m[few], c[few]))
+    number = np.unique(players, return_inverse=True)[1].ravel()
+    asking = np.flatnonzero(~single)
+    for start in range(0, len(asking), 512):  # rows of one of several owners can't be passed over: all of the lists are ranked exactly
+        part = asking[start : start + 512]
+        seen = nearest_few(q_unit[part], lists, probes)
+        visited = np.zeros((len(part), len(lists)), bool)
+        visited[np.arange(len(part))[:, None], seen] = True
+        cosine = np.where(visited[:, home], (q64[part] @ m64.T) / m_norm, -np.inf)
+        i, j = np.nonzero(cosine > -np.inf)
+        q, m, c = rows_of_vectors(i, j, cosine[i, j])
+        few = place_in(q * len(players) + number[m], np.lexsort((order[m], -c, number[m], q))) < k
+        q, m, c = q[few], m[few], c[few]
+        few = place_in(q, np.lexsort((order[m], -c, q))) < 2 * k
+        out.append((part[q[few]], m[few], c[few]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     q, m, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    by = np.lexsort((order[m], -c, q))
-    q, m, c = q[by], m[by], c[by]
-    first = np.flatnonzero(np.diff(q, prepend=-1))
-    rank = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
-    keep = rank < np.where(single[q], k, k + COPIES)
-    return q[keep], m[keep], c[keep]
+    return q, m, c
+
+
+def place_in(group: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Place of each entry in its group, from 0, ``by`` sorting the entries by group first."""
+    starts = np.flatnonzero(np.diff(group[by], prepend=-1))
+    out = np.empty(len(group), np.int64)
+    out[by] = np.arange(len(group)) - np.repeat(starts, np.diff([*starts, len(group)]))
+    return out
 
 
-def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """``kind``, ``h1``, ``h2``, ``v`` and ``heads`` (first rows holding it, ordered) of every distinct vector that takes part.
 
-    A vector takes part if it is not null, has an entry other than 0 and holds no null, NaN or infinity. The second result
-    has all rows once.
+    A vector takes part if it is not null, has an entry other than 0 and holds no null, NaN or infinity. Its heads are the
+    first 2 k rows of which no player has more than k: whoever asks, they have the first k of other players. The second
+    result has all rows once.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     clean = rows.filter(F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0) & F.col("player_id").isNotNull())
     keyed = clean.select("kind", "player_id", "season", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     once = keyed.groupBy("kind", "h1", "h2", "player_id", "season").agg(F.first("v").alias("v"))
     vec = ["kind", "h1", "h2"]
-    few = once.withColumn("n", F.row_number().over(Window.partitionBy(*vec, "player_id").orderBy("season"))).filter("n <= 5")
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy(*vec).orderBy("player_id", "season"))).filter(f"n <= {COPIES}")
+    few = once.withColumn("n", F.row_number().over(Window.partitionBy(*vec, "player_id").orderBy("season"))).filter(F.col("n") <= k)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy(*vec).orderBy("player_id", "season"))).filter(F.col("n") <= 2 * k)
     heads = few.groupBy(*vec).agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("player_id", "season"))).alias("heads"))
     return heads, once
 
 
-def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, group_probes: int = GROUP_PROBES, list_probes: int = LIST_PROBES) -> DataFrame:
     """The k most similar rows of other players for every row: ``kind``, ``player_id``, ``season``, ``other_id``,
     ``other_season``, ``cosine``, ``rank``.
 
     ``rows``: ``kind``, ``player_id``, ``season``, ``v``; only rows of one kind are compared. Repeated rows count once;
     null, empty, all-zero and NaN- or infinity-holding vectors don't take part; shorter vectors count as padded with
-    zeros; equal similarities go by player, then season. Copies of a vector are indexed and asked for once.
+    zeros; equal similarities go by player, then season. Copies of a vector are indexed and asked for once. The search is
+    approximate: every row is indexed, and of the ``group_probes`` nearest groups the ``list_probes`` nearest lists of each
+    block are visited.
     """
     spark = rows.sparkSession
-    heads, once = distinct_vectors(rows)
+    heads, once = distinct_vectors(rows, k)
     vectors = cut(heads)
     used = F.array_max(F.transform("v", lambda x, i: F.when(x != 0, i + 1).otherwise(0)))  # entries up to the last that isn't 0
     sizes = {r["kind"]: (r["n"], r["d"]) for r in vectors.groupBy("kind").agg(F.count("*").alias("n"), F.max(used).alias("d")).collect()}
     out_schema = "kind string, h1 long, h2 long, player_id int, season string, one boolean, other_id int, other_season string, cosine double"
     if not sizes:
-        none = spark.createDataFrame([], "kind string, player_id int, season string, other_id int, other_season string, cosine double, rank int")
-        return none
+        return spark.createDataFrame([], "kind string, player_id int, season string, other_id int, other_season string, cosine double, rank int")
     indexes, widths, dims = {}, {}, {}
     for kind, (n, dim) in sorted(sizes.items()):
-        share = min(1.0, 1.2 * TRAIN_ROWS / n)
-        sample = vectors.filter((F.col("kind") == kind) & (F.pmod(F.col("h1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("v").limit(TRAIN_ROWS)
+        wanted = max(TRAIN_ROWS, TRAIN_EACH * groups_of(n))
+        share = min(1.0, 1.2 * wanted / n)
+        sample = vectors.filter((F.col("kind") == kind) & (F.pmod(F.col("h1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("v").limit(wanted)
         widths[kind], dims[kind] = -(-dim // PART) * PART, dim
         indexes[kind] = train(unit(stacked(sample.toPandas()["v"], dim), widths[kind]), n)
     shared = spark.sparkContext.broadcast((indexes, widths, dims))
@@ -207,34 +254,22 @@ def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
         indexes, widths, dims = shared.value
         for batch in batches:
             for kind, part in batch.groupby("kind", sort=False):
-                index, width, dim = indexes[kind], widths[kind], dims[kind]
-                raw = stacked(part["v"], dim)
-                x = unit(raw, width)
-                half = (index.centroids**2).sum(axis=1) / 2
-                near = x @ index.centroids.T - half
-                home = np.argmax(near, axis=1)
-                n = min(probes, near.shape[1])
-                seen = np.argpartition(-near, n - 1, axis=1)[:, :n].astype(np.int32)
-                residual = x - index.centroids[home]
-                code = np.stack([nearest_centroid(residual[:, m * PART : (m + 1) * PART], book) for m, book in enumerate(index.codebooks)], axis=1).astype(np.uint8)
+                raw = stacked(part["v"], dims[kind])
+                x = unit(raw, widths[kind])
+                groups = indexes[kind].groups
                 yield pd.DataFrame({
-                    "kind": kind, "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "heads": part["heads"].to_numpy(),
-                    "v": [r.tobytes() for r in raw], "list": home.astype(np.int32), "g": index.groups[home],
-                    "code": [r.tobytes() for r in code],
-                    "probes": [[{"g": int(index.groups[j]), "l": int(j)} for j in row] for row in seen],
+                    "kind": kind, "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "heads": part["heads"].to_numpy(), "v": [r.tobytes() for r in raw],
+                    "g": nearest_centroid(x, groups).astype(np.int32), "gs": list(nearest_few(x, groups, group_probes)),
                 })
 
     head_type = "array<struct<player_id:int,season:string>>"
-    encoded = cut(vectors.mapInPandas(encode, f"kind string, h1 long, h2 long, heads {head_type}, v binary, list int, g int, code binary, probes array<struct<g:int,l:int>>"))
-    members = encoded.select("kind", "g", "h1", "list", "code", "v", F.explode("heads").alias("head"))
-    members = members.select("kind", "g", "h1", "list", "code", "v", "head.player_id", "head.season")
-    ids = F.transform("heads", lambda h: h["player_id"])
+    encoded = cut(vectors.mapInPandas(encode, f"kind string, h1 long, h2 long, heads {head_type}, v binary, g int, gs array<int>"))
+    ids, seasons = F.transform("heads", lambda h: h["player_id"]), F.transform("heads", lambda h: h["season"])
+    members = encoded.select("kind", "g", "h2", "v", ids.alias("ids"), seasons.alias("seasons"))
     asks = encoded.select(
-        "kind", "h1", "h2", "v", "probes", F.array_min(ids).alias("player_id"), F.col("heads")[0]["season"].alias("season"),
-        (F.size("heads") == 1).alias("one"), (F.array_min(ids) == F.array_max(ids)).alias("single"),
-        F.explode(F.array_distinct(F.transform("probes", lambda p: p["g"]))).alias("g"),
+        "kind", "h1", "h2", "v", F.array_min(ids).alias("player_id"), F.col("heads")[0]["season"].alias("season"),
+        (F.size("heads") == 1).alias("one"), (F.array_min(ids) == F.array_max(ids)).alias("single"), F.explode("gs").alias("g"),
     )
-    asks = asks.withColumn("probes", F.transform(F.filter("probes", lambda p: p["g"] == F.col("g")), lambda p: p["l"]))
     # blocks: at most two counts per group reach the driver's plan, and groups are bounded
     m_count = members.groupBy("kind", "g").agg(F.count("*").alias("m"))
     q_count = asks.groupBy("kind", "g").agg(F.count("*").alias("q"))
@@ -243,30 +278,27 @@ def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     blocks = F.broadcast(spark.createDataFrame(planned, "kind string, g int, mb int, qb int"))
     tasks = sum(mb * qb for *_, mb, qb in planned)
     key = ["kind", "g", "i", "j"]
-    members = members.join(blocks, ["kind", "g"]).withColumn("i", F.pmod(F.xxhash64("h1", "player_id", "season"), F.col("mb")).cast("int"))
+    members = members.join(blocks, ["kind", "g"]).withColumn("i", F.pmod("h2", F.col("mb")).cast("int"))
     members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).drop("mb", "qb")
     asks = asks.join(blocks, ["kind", "g"]).withColumn("j", F.pmod("h2", F.col("qb")).cast("int"))
     asks = asks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).drop("mb", "qb")
 
     def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        columns = ["kind", "h1", "h2", "player_id", "season", "one", "other_id", "other_season", "cosine"]
         if not len(asked) or not len(there):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame()
         indexes, widths, dims = shared.value
         kind = asked["kind"].iloc[0]
-        matrix = lambda column, kind_of, d: np.frombuffer(b"".join(column), kind_of).reshape(len(column), d)
-        pairs = np.stack([np.repeat(np.arange(len(asked)), asked["probes"].map(len)), np.concatenate(asked["probes"].to_numpy())], axis=1).astype(np.int64)
-        players = there["m_player_id"].to_numpy()
-        order = np.empty(len(there), np.int64)
-        order[np.lexsort((there["m_season"].astype(str).to_numpy(), players))] = np.arange(len(there))
+        matrix = lambda column: np.frombuffer(b"".join(column), np.float32).reshape(len(column), dims[kind])
+        players, seasons = np.concatenate(there["m_ids"].to_numpy()), np.concatenate(there["m_seasons"].to_numpy())
+        order = np.empty(len(players), np.int64)
+        order[np.lexsort((seasons.astype(str), players))] = np.arange(len(players))
         q, m, c = block_search(
-            matrix(asked["v"], np.float32, dims[kind]), asked["player_id"].to_numpy(), asked["single"].to_numpy(bool), pairs,
-            matrix(there["m_v"], np.float32, dims[kind]), players, order, there["m_list"].to_numpy(),
-            matrix(there["m_code"], np.uint8, len(indexes[kind].codebooks)), indexes[kind], widths[kind], k,
+            matrix(asked["v"]), asked["player_id"].to_numpy(), asked["single"].to_numpy(bool), matrix(there["m_v"]), there["m_ids"].map(len).to_numpy(),
+            players, order, indexes[kind], widths[kind], k, list_probes,
         )
         out = asked[["kind", "h1", "h2", "player_id", "season", "one"]].iloc[q].reset_index(drop=True)
-        out["other_id"], out["other_season"], out["cosine"] = players[m], there["m_season"].to_numpy()[m], c
-        return out
+        out["other_id"], out["other_season"], out["cosine"] = players[m], seasons[m], c
+        return out if len(out) else pd.DataFrame()
 
     spread = max(12, min(tasks, 4096))
     # both sides come from one table: names of their own keep the columns apart
@@ -287,10 +319,10 @@ def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similar_pairs(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
+def similar_pairs(rows: DataFrame, k: int = 5) -> DataFrame:
     """Pairs of rows of which at least one is among the k most similar of the other, the smaller player first."""
     a, b = F.struct("player_id", "season"), F.struct(F.col("other_id").alias("player_id"), F.col("other_season").alias("season"))
-    pairs = nearest(rows, k, probes).select("kind", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = nearest(rows, k).select("kind", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     return pairs.distinct().select(
         F.col("kind").alias("vec"), F.col("a.player_id").alias("player_id_a"), F.col("a.season").alias("season_a"),
         F.col("b.player_id").alias("player_id_b"), F.col("b.season").alias("season_b"),
