@@ -59,12 +59,29 @@ def test_leaks_without_broadcast(corpus, monkeypatch):
 def test_spans_and_removal(corpus):
     docs, items, d, i = corpus
     span = {(r["doc_id"], r["item_id"]): r for r in leaked_spans(d, i).collect()}[2, 70]
-    assert (span["first_word"], span["last_word"], span["item_words"], span["item_length"]) == (5, 15, 11, len(plain(ITEM)))
+    assert (span["first_word"], span["last_word"], span["item_first"], span["run_words"], span["item_length"]) == (5, 15, 2, 11, len(plain(ITEM)))
     once = d.filter("doc_id is not null").dropDuplicates(["doc_id"])
     clean = {r["doc_id"]: r["text"] for r in decontaminate(once, i).collect()}
     assert not brute([(k, t) for k, t in clean.items()], items) and clean[8] == next(t for k, t, *_ in docs if k == 8)
     assert plain(clean[2]) == plain(docs[1][1])[:5] + plain(docs[1][1])[-5:]
     assert {r["doc_id"] for r in decontaminate(once, i, whole=True).collect()} == {3, 5, 6, 8}
+    assert decontaminate(once.limit(0), i).count() == 0 and decontaminate(once, i.limit(0)).count() == once.count()
+
+
+def test_removal_without_broadcast(corpus, monkeypatch):
+    docs, items, d, i = corpus
+    once = d.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    wide = [sorted(map(tuple, decontaminate(once, i, whole=w).collect()), key=str) for w in (False, True)]
+    monkeypatch.setattr("turfline.llm.leakage.BROADCAST_GRAMS", 0)
+    assert [sorted(map(tuple, decontaminate(once, i, whole=w).collect()), key=str) for w in (False, True)] == wide
+
+
+def test_passages_apart_are_runs_of_their_own(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    gap = " ".join(["filler"] * 300)
+    text = f"{' '.join(item.split()[:12])} {gap} {' '.join(item.split()[20:32])} end {' '.join(item.split()[:12])}"
+    found = leaked_spans(spark.createDataFrame([(1, text, "a", 0, "k", 0)], DOCS), spark.createDataFrame([(5, item, "")], ITEMS))
+    assert sorted((r["first_word"], r["last_word"], r["item_first"], r["run_words"]) for r in found.collect()) == [(0, 11, 0, 12), (312, 323, 20, 12), (325, 336, 0, 12)]
 
 
 def test_endings():
