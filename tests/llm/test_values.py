@@ -186,16 +186,36 @@ def test_mix(spark):
     sized = sized_documents(documents, targets).cache()
     planned = {p.source: p for p in plan(sized, targets)}
     assert [s for s, p in planned.items() if not p.reachable] == ["tiny", "absent"]
-    taken = mix(sized, list(planned.values()), blocks=8).collect()
+    taken = mix(sized, list(planned.values()), block_documents=50).collect()
     total = sum(r["tokens"] for r in taken)
     for s, p in planned.items():
         rows = [r for r in taken if r["source"] == s]
         assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
         assert all(r["copy"] < p.max_repeats for r in rows)
         assert p.budget - 200 <= sum(r["tokens"] for r in rows) <= p.budget
+        assert p.exhausted == (s in ("tiny", "absent"))
+        for c in {r["copy"] for r in rows}:  # blocks and places are numbered without gaps, each block read in one piece
+            blocks = {}
+            for r in rows:
+                if r["copy"] == c:
+                    blocks.setdefault((r["block"], r["shuffle"]), []).append(r["position"])
+            assert sorted(b for b, _ in blocks) == list(range(len(blocks))) and all(sorted(x) == list(range(len(x))) for x in blocks.values())
+            assert [b for b, _ in sorted(blocks)] == [b for b, _ in sorted(blocks, key=lambda b: b[1])]
+    order = {c: [r["doc_id"] for r in sorted((r for r in taken if r["source"] == "small" and r["copy"] == c), key=lambda r: (r["shuffle"], r["position"]))] for c in (0, 1)}
+    assert set(order[0]) == set(order[1]) and order[0] != order[1] != sorted(order[1])  # whole copies are permuted, each in its way
     assert sum(r["tokens"] for r in taken if r["source"] == "small") / total == pytest.approx(0.3, abs=0.06)
-    again = mix(sized, list(planned.values()), blocks=8)
+    again = mix(sized, list(planned.values()), block_documents=50)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, taken))
-    assert {p.reachable for p in plan(sized.limit(0), targets)} == {True}
+    assert {(r["doc_id"], r["copy"]) for r in mix(sized, list(planned.values()), seed=5, block_documents=50).collect()} != {(r["doc_id"], r["copy"]) for r in taken}
+    assert {(p.reachable, p.budget) for p in plan(sized.limit(0), targets)} == {(True, 0.0)}
     assert mix(sized.limit(0), plan(sized.limit(0), targets)).count() == 0
     assert plan(sized, targets.limit(0)) == []
+
+
+def test_plan_keeps_the_limits_of_sources_that_others_push(spark):
+    sized = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate([("a", 100), ("b", 300), ("c", 600)])], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.8, 2), ("b", 0.15, 1), ("c", 0.05, 9)], TARGETS)
+    p = {x.source: x for x in plan(sized, targets)}
+    assert (p["a"].budget, p["a"].reachable) == (200.0, False)  # used up
+    assert p["b"].budget == pytest.approx(300, abs=1e-6) and p["b"].reachable and p["c"].budget == pytest.approx(500, abs=1e-6)
+    assert sum(x.budget for x in p.values()) == pytest.approx(1000)

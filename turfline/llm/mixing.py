@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Most sources of a mix; their totals are planned on the driver.
 MOST_SOURCES = 10_000
+#: Documents of a block, about, and most blocks of a copy of a source.
+BLOCK_DOCUMENTS, MOST_BLOCKS = 1_000, 65_536
 
 
 @lru_cache(4)
 def tokenizer(path: str):
-    """The tokenizer of a ranks file, one per Python worker."""
+    """The tokenizer of a ranks file, one per Python worker; where the path doesn't exist, the file as handed to the executors."""
     import tiktoken
 
-    with open(path, "rb") as file:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -54,7 +58,17 @@ class Planned(NamedTuple):
     tokens: int
     documents: int
     budget: float
-    reachable: bool
+    target: float  # tokens of the target share of the mix
+
+    @property
+    def exhausted(self) -> bool:
+        """Whether the mix takes all that the repetition limit allows."""
+        return self.budget >= self.tokens * max(self.max_repeats, 0)
+
+    @property
+    def reachable(self) -> bool:
+        """Whether the mix can hold the target: what is used up without reaching it can't."""
+        return not (self.exhausted and self.budget < self.target)
 
 
 def check_sources(targets: DataFrame) -> None:
@@ -70,6 +84,8 @@ def sized_documents(documents: DataFrame, targets: DataFrame, path: str = TOKENI
     pass over the scan.
     """
     check_sources(targets)
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
     names = F.broadcast(targets.select(source_key(F.col("source")).alias("__key"), F.col("source").alias("__name")))
     sized = documents.select("doc_id", source_key(F.col("source")).alias("__key"), token_counts(F.col("text"), path).alias("tokens"))
     return sized.join(names, "__key", "left").select("doc_id", F.col("__name").alias("source"), "tokens")
@@ -78,23 +94,22 @@ def sized_documents(documents: DataFrame, targets: DataFrame, path: str = TOKENI
 def plan(sized: DataFrame, targets: DataFrame, size: int | None = None) -> list[Planned]:
     """Budget of tokens per source for a mix of ``size`` tokens (default: as many as all documents have).
 
-    A source whose tokens times max_repeats are fewer than its share of the mix can't reach it (``reachable`` is false)
-    and is used up. The rest of the mix goes to the others in weights tokens^(1 - a) * share^a, normalised, where the
-    exponent a, found by bisection, is the largest up to 1 that keeps every repetition limit; sources beyond it even at 0
-    are used up too. Only one row of totals per source reaches the driver, at most ``MOST_SOURCES``. A null share counts
+    Sources get weights tokens^(1 - a) * share^a, normalised. At the exponent 1 these are the target shares; sources whose
+    tokens times max_repeats are fewer are used up, and the rest of the mix goes to the others. While others are pushed
+    over their limits by that, the exponent is bisected to the largest that keeps every limit; sources beyond theirs even at
+    0 are used up too. Only one row of totals per source reaches the driver, at most ``MOST_SOURCES``. A null share counts
     as 0 and null repeats as 1; a source without documents has no budget.
     """
+    check_sources(targets)
     wanted = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("repeats"))
     totals = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    check_sources(targets)
     have = {r["source"]: (r["tokens"] or 0, r["n"]) for r in totals.collect()}
     rows = [(r["source"], r["share"], r["repeats"], *have.get(r["source"], (0, 0))) for r in wanted.collect()]
     whole = sum(t for t, _ in have.values())
     size = whole if size is None else size
     most = {s: t * max(r, 0) for s, _, r, t, _ in rows}
-    reachable = {s: most[s] >= share * size for s, share, *_ in rows}
-    budget = {s: float(most[s]) for s in most if not reachable[s]}
-    free = [x for x in rows if reachable[x[0]] and x[1] > 0 and x[3] > 0]
+    budget = {s: float(most[s]) for s, share, *_ in rows if share * size > most[s]}
+    free = [x for x in rows if x[0] not in budget and x[1] > 0 and x[3] > 0]
     while free:
         rest = max(0.0, size - sum(budget.values()))
 
@@ -116,31 +131,38 @@ def plan(sized: DataFrame, targets: DataFrame, size: int | None = None) -> list[
                 low, high = (low, middle) if over(middle) else (middle, high)
         budget |= {s: w * rest for s, w in weights(low).items()}
         break
-    return [Planned(s, share, r, t, n, budget.get(s, 0.0), reachable[s]) for s, share, r, t, n in rows]
+    return [Planned(s, share, r, t, n, budget.get(s, 0.0), share * size) for s, share, r, t, n in rows]
 
 
-def mix(sized: DataFrame, planned: list[Planned], seed: int = 0, blocks: int = 1024) -> DataFrame:
-    """The mix: ``doc_id``, ``source``, ``copy`` (from 0), ``tokens``.
+def mix(sized: DataFrame, planned: list[Planned], seed: int = 0, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+    """The mix: ``doc_id``, ``source``, ``copy`` (from 0), ``tokens``, ``block``, ``position`` and ``shuffle``.
 
-    A source is taken whole as often as its budget allows, then in part: its documents are put into ``blocks`` by a hash
-    of seed, copy and id, whole blocks are taken in order while they fit the rest of the budget, and of the next block
-    documents in hash order. Only totals of blocks are ordered per source, and one block of it is sorted.
+    A source is taken as often as its budget allows, each time as a permutation of its own: a hash of seed, copy and id puts
+    its documents into blocks of about ``block_documents`` (at most ``MOST_BLOCKS`` a copy, larger ones then), the blocks
+    of a copy come in the order of a hash (``block``, from 0), and so do the documents of a block (``position``, from 0).
+    Of the last copy, blocks are taken in order while they fit the rest of the budget, and of the next block documents
+    while they fit. Reading by ``shuffle``, then ``position``, gives the blocks of all sources and copies in one random
+    order. Only totals of blocks are ordered per copy, and one block is sorted at a time.
     """
     spark = sized.sparkSession
-    steps = [(p.source, int(p.budget // p.tokens), float(p.budget - p.budget // p.tokens * p.tokens)) for p in planned if p.tokens > 0]
-    budgets = F.broadcast(spark.createDataFrame(steps, "source string, full int, rest double"))
+    steps = [
+        (p.source, int(p.budget // p.tokens), float(p.budget - p.budget // p.tokens * p.tokens), max(1, min(MOST_BLOCKS, -(-p.documents // block_documents))))
+        for p in planned if p.tokens > 0
+    ]
+    budgets = F.broadcast(spark.createDataFrame(steps, "source string, full int, rest double, blocks int"))
     rows = sized.filter("source is not null").join(budgets, "source")
-    full = rows.filter("full > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("copy"), "tokens")
-    place = F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"))
-    part = rows.filter("rest > 0").select("doc_id", "source", "full", "rest", "tokens", place.alias("h"), F.pmod(place, F.lit(blocks)).alias("b"))
-    ordered = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = part.groupBy("source", "b").agg(F.sum("tokens").alias("bt")).withColumn("before", F.coalesce(F.sum("bt").over(ordered), F.lit(0)))
-    part = part.join(sums, ["source", "b"]).filter("before < rest")
-    inner = Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole_blocks = part.filter("before + bt <= rest")
-    edge = part.filter("before + bt > rest").withColumn("upto", F.col("before") + F.sum("tokens").over(inner)).filter("upto <= rest").drop("upto")
-    taken = whole_blocks.unionByName(edge).select("doc_id", "source", F.col("full").alias("copy"), "tokens")
-    return full.unionByName(taken)
+    last = F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1)
+    rows = rows.filter(last >= 0).select("doc_id", "source", "full", "rest", "blocks", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "copy", "doc_id")).withColumn("b", F.pmod("h", "blocks"))
+    key = ["source", "copy", "b"]
+    sums = rows.groupBy(*key).agg(F.sum("tokens").alias("bt")).withColumn("shuffle", F.xxhash64(F.lit(seed + 1), *key))
+    ordered = Window.partitionBy("source", "copy").orderBy("shuffle", "b")
+    sums = sums.withColumn("block", F.row_number().over(ordered) - 1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("bt").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = Window.partitionBy(*key).orderBy("h", "doc_id")
+    placed = rows.join(sums, key).filter((F.col("copy") < F.col("full")) | (F.col("before") < F.col("rest")))
+    placed = placed.withColumn("position", F.row_number().over(inner) - 1).withColumn("upto", F.col("before") + F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.filter((F.col("copy") < F.col("full")) | (F.col("upto") <= F.col("rest"))).select("doc_id", "source", "copy", "tokens", "block", "position", "shuffle")
 
 
 def prepared(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:

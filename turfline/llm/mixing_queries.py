@@ -10,6 +10,7 @@ from turfline.session import table
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that the mix uses up without reaching their target."""
     targets = table(spark, sf_dir, "mix_targets")
     planned = plan(sized_documents(table(spark, sf_dir, "documents"), targets), targets)
     return spark.createDataFrame([(p.source,) for p in planned if not p.reachable], "source string")
@@ -28,11 +29,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan(sized, targets)
     reached = mix(sized, planned).groupBy("source").agg(F.sum("tokens").alias("mixed"), F.max("copy").alias("last_copy"))
     all_mixed = reached.select(F.sum("mixed").alias("all"))
-    have = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.tokens) for p in planned], "source string, target_share double, max_repeats int, tokens long")
+    have = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.tokens, p.reachable) for p in planned], "source string, target_share double, max_repeats int, tokens long, reachable boolean")
     return have.join(F.broadcast(reached), "source", "left").crossJoin(F.broadcast(all_mixed)).select(
         "source", "target_share", "max_repeats", "tokens", F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"),
         F.round(F.coalesce(F.col("mixed") / F.col("all"), F.lit(0.0)), 6).alias("reached_share"),
-        F.round(F.coalesce(F.try_divide("mixed", "tokens"), F.lit(0.0)), 6).alias("repeats"),
+        F.round(F.coalesce(F.try_divide("mixed", "tokens"), F.lit(0.0)), 6).alias("repeats"), "reachable",
     )
 
 
