@@ -83,7 +83,7 @@ def test_merged_digests_bound_the_quantiles(spark):
     assert Q.quantiles(Q.digests(df.limit(0), ["g"], "v", 50), ["g"], (0.5,)).count() == 0
 
 
-@pytest.mark.parametrize("k", [4, 6400])
+@pytest.mark.parametrize("k", [4, 40, None])
 def test_misranked_against_brute_force(spark, k):
     rng = random.Random(3)
     rows = [(i, g, m, rng.choice([0.0, 0.5, round(rng.random(), 3)]), rng.randint(0, 100), "clash") for i in range(300) for g in ("x", None) for m in ("goals", "red_cards")]
@@ -101,6 +101,25 @@ def test_misranked_against_brute_force(spark, k):
     assert Q.misranked(df.limit(0), ["g", "m"], "v", "p", F.col("m") == "red_cards").count() == 0
 
 
+def test_digests_decide_most_rows_where_they_are_compressed(spark):
+    rng = random.Random(13)
+    rows = [(i, round(rng.gauss(0, 1), 4)) for i in range(6_000)]
+    place = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: r[1]))}
+    stored = [(i, "g", v, min(100, max(0, round(place[i] / 60) + rng.choice([0, 0, 0, 25, -25])))) for i, v in rows]
+    df = spark.createDataFrame(stored, "id int, g string, v double, p int")
+    k = Q.compression(10.0)
+    assert Q.digests(df, ["g"], "v", k).count() < 0.5 * df.select(Q.quantize(F.col("v"))).distinct().count()
+    wide, exact = Q.judged_ranks(df, ["g"], "v", "p", F.lit(False), 10.0, k)
+    decided = wide.filter("__sure").count()
+    assert 0 < exact.count() + decided == sum(abs(p - place[i] / 60) > 10 for i, _, _, p in stored)  # values are distinct but for few
+    assert decided > 0.5 * wide.count()
+    checked = Q.checked_quantiles(df, Q.digests(df, ["g"], "v", k), ["g"], "v", (0.0, 0.1, 0.5, 1.0)).collect()
+    values = sorted(v for _, v in rows)
+    assert [(r["exact"], r["inside"], r["rank_off"] <= r["rank_error"] <= 2 * Q.BITS * (6_000 // k)) for r in sorted(checked, key=lambda r: r["probability"])] == [
+        (values[max(math.ceil(p * 6_000) - 1, 0)], True, True) for p in (0.0, 0.1, 0.5, 1.0)
+    ]
+
+
 VECTORS = "kind string, player_id int, season string, v array<float>, h1 int"
 
 

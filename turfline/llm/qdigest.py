@@ -7,6 +7,7 @@ the rank of any cell is known to within BITS * (n // k). Digests of slices merge
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turfline.operators.peers import running_counts
+from turfline.session import cut
+
 #: The universe: a sign, 128 binary exponents and 256 steps within each.
 BITS, EXPONENTS, STEPS = 16, 64, 256
 NODE = "node long, count long"
@@ -179,18 +183,31 @@ def rank_bounds(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> Dat
     return cells.groupBy(*keys).applyInPandas(one, schema)
 
 
+def compression(tolerance: float) -> int:
+    """The k whose rank error is at most half of ``tolerance`` percent of the rows: small enough that groups larger than k are
+    compressed, and tight enough that most rows are decided by their bounds."""
+    return math.ceil(200 * BITS / tolerance)
+
+
 def misranked(
-    rows: DataFrame, keys: Sequence[str], value: str, stored: str, lower_is_better: Column, tolerance: float = 10.0, k: int = 6400
+    rows: DataFrame, keys: Sequence[str], value: str, stored: str, lower_is_better: Column, tolerance: float = 10.0, k: int | None = None
 ) -> DataFrame:
     """Rows whose stored percentile differs by more than ``tolerance`` from their percentile among the rows of their keys.
 
     The percentile is the average rank (ties share it, worst value first) by the number of rows, times 100. Repeated rows
-    count once; rows with null or NaN value count nowhere; a null stored percentile is no difference. The digest bounds
-    every rank; a row whose bounds decide is taken or left, and only rows in between are ranked exactly, within their
-    cell, whose values are pre-counted. Columns of ``rows`` are kept.
+    count once; rows with null or NaN value count nowhere; a null stored percentile is no difference. The digest, of ``k``
+    (by default ``compression`` of the tolerance), bounds every rank; a row whose bounds decide is taken or left, and only
+    rows in between are ranked exactly, within their cell, whose values are pre-counted. Columns of ``rows`` are kept.
     """
+    decided, exact = judged_ranks(rows, keys, value, stored, lower_is_better, tolerance, k or compression(tolerance))
+    return decided.filter("__sure").select(*rows.columns).unionByName(exact.select(*rows.columns))
+
+
+def judged_ranks(rows: DataFrame, keys: Sequence[str], value: str, stored: str, lower_is_better: Column, tolerance: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be off, ``__sure`` being those the digest's bounds decide, and of the others those that are off, ranked
+    exactly. Rows that are surely within the tolerance are in neither."""
     keys = list(keys)
-    counted = rows.distinct().filter(F.col(value).isNotNull() & ~F.isnan(value))
+    counted = cut(rows.distinct().filter(F.col(value).isNotNull() & ~F.isnan(value)))  # read for cells, rows and values
     renamed = [F.col(c).alias(f"__{c}") for c in keys]
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     bounds = rank_bounds(counted, keys, value, k).select(
@@ -204,7 +221,7 @@ def misranked(
     wide = wide.filter(F.greatest(*[F.abs(off - e) for e in ends]) > tolerance)  # all others are surely within
     inside = off.between(F.least(*ends), F.greatest(*ends))
     sure = ~inside & (F.least(*[F.abs(off - e) for e in ends]) > tolerance)
-    wide = wide.withColumn("__sure", sure)
+    wide = cut(wide.withColumn("__sure", sure))  # read for the decided rows, the open ones and their cells: digests are made once
     open_rows = wide.filter("not __sure")
     cells = open_rows.select(*renamed, F.col("__c").alias("__k")).distinct()
     values = (
@@ -215,5 +232,28 @@ def misranked(
     )
     on = [F.col(c).eqNullSafe(F.col(f"__v_{c}")) for c in keys]
     rank = F.col("__before") + F.col("__less") + (F.col("__eq") + 1) / 2
-    exact = open_rows.join(values, [*on, F.col(value) == F.col("__v")]).filter(F.abs(off - percent(rank)) > tolerance)
-    return wide.filter("__sure").select(*rows.columns).unionByName(exact.select(*rows.columns))
+    return wide, open_rows.join(values, [*on, F.col(value) == F.col("__v")]).filter(F.abs(off - percent(rank)) > tolerance)
+
+
+def checked_quantiles(rows: DataFrame, digest: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """``quantiles`` of the digest beside the exact ones: ``exact``, whether it lies ``inside`` [low, high], and whether the
+    estimate's ``rank_off``, its distance in rows from the rank asked for, keeps to the rank error and the rows of its cell.
+    """
+    keys = list(keys)
+    counts = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("__eq"))
+    ranks = running_counts(counts.withColumn(value, F.col(value) + 0.0).groupBy(*keys, value).agg(F.sum("__eq").alias("__eq")), keys, value, "__eq")
+    wanted = ranks.withColumn("probability", F.explode(F.array(*[F.lit(p) for p in probabilities])))
+    wanted = wanted.withColumn("__rank", F.greatest(F.ceil(F.col("probability") * F.col("__all") - 1e-9), F.lit(1)))
+    exact = wanted.filter(F.col("__upto") >= F.col("__rank")).groupBy(*keys, "probability").agg(F.min(value).alias("exact"), F.max("__rank").alias("__rank"))
+    renamed = exact.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("probability").alias("__p"), "exact", "__rank")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    both = quantiles(digest, keys, probabilities).join(renamed, [*on, F.col("probability") == F.col("__p")])
+    # rows surely below and possibly up to the cell of the estimate
+    cells = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in keys], quantize(F.col(value)).alias("__cell"), "__eq", "__upto")
+    cells = cells.groupBy(*[f"__r_{c}" for c in keys], "__cell").agg(F.min(F.col("__upto") - F.col("__eq")).alias("__below"), F.max("__upto").alias("__to"))
+    near = both.join(cells, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]).withColumn("__e", quantize(F.col("estimate")))
+    below = F.max(F.when(F.col("__cell") < F.col("__e"), F.col("__to")).otherwise(0))
+    upto = F.max(F.when(F.col("__cell") <= F.col("__e"), F.col("__to")).otherwise(0))
+    out = near.groupBy(*keys, "probability", "estimate", "low", "high", "rank_error", "n", "exact", "__rank").agg(below.alias("__below"), upto.alias("__to"))
+    off = F.greatest(F.col("__below") + 1 - F.col("__rank"), F.col("__rank") - F.col("__to"), F.lit(0))
+    return out.select(*keys, "probability", "n", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("inside"), "rank_error", off.cast("long").alias("rank_off"))
