@@ -46,6 +46,18 @@ def test_learned_precedence_orders_untimed_rows(spark):
     assert winners(spark, rows, support=100)[50, "position_group"] == (501, "W")
 
 
+def test_precedence_reaches_over_absent_classes(spark):
+    t = lambda d: datetime(2024, 1, d)
+    step = lambda g, a, b: [(g, 10 * g, None, None, a, t(1)), (g, 10 * g + 1, None, None, b, t(2))]
+    rows = [r for g in range(1, 7) for r in step(g, "W", "AM")] + [r for g in range(11, 17) for r in step(g, "AM", "CM")]
+    rows += [r for g in range(21, 27) for r in step(g, "GK", "DC") + step(g + 10, "DC", "FB") + step(g + 20, "FB", "GK")]  # a cycle
+    rows += [(90, 900, None, None, "CM", None), (90, 901, None, None, "W", None), (90, 902, None, None, "W", None)]
+    rows += [(91, 910, None, None, "GK", None), (91, 911, None, None, "FB", None), (91, 912, None, None, "FB", None)]
+    got = winners(spark, rows)
+    assert got[90, "position_group"] == (900, "CM")  # W, AM, CM, though the group has no AM
+    assert got[91, "position_group"] == (911, "FB")  # in no order: that of more rows
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**Q.BITS - 1), min_size=1, max_size=400), st.integers(1, 60))
 def test_digest_rank_error_is_bounded(cells, k):

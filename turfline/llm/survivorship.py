@@ -7,7 +7,7 @@ ones, and a topologically latest class survives.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from turfline.registry import POSITION_LABELS
 
 
+#: Most classes of a field; their precedence is closed on the driver.
+MOST_CLASSES = 256
+
+
 class Field(NamedTuple):
     real: Column  # whether the row's value is real
     kind: Column  # class of a real value, of bounded number
@@ -32,6 +36,24 @@ def player_fields() -> dict[str, Field]:
     }
 
 
+def followers(pairs: Iterable[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Field, class and newer class of every pair that the learned (field, class, newer) order directly or through others;
+    classes that follow each other both ways are in no order."""
+    after: dict[tuple[str, str], set[str]] = {}
+    for field, old, new in pairs:
+        after.setdefault((field, old), set()).add(new)
+    reach: dict[tuple[str, str], set[str]] = {}
+    for field, start in after:
+        seen: set[str] = set()
+        todo = [start]
+        while todo:
+            for new in after.get((field, todo.pop()), set()) - seen:
+                seen.add(new)
+                todo.append(new)
+        reach[field, start] = seen
+    return sorted((field, old, new) for (field, old), newer in reach.items() for new in newer if old not in reach.get((field, new), ()))
+
+
 def survivors(
     rows: DataFrame, group: str, row: str, updated: str, fields: Mapping[str, Field], support: int = 5, share: float = 0.6
 ) -> DataFrame:
@@ -39,8 +61,9 @@ def survivors(
 
     Where all real rows of a group and field carry a timestamp, the latest wins (equal times: the smaller row id). Where
     some carry none, the latest timed class and the untimed classes compete: a class loses if another of them is learned
-    to follow it (seen in at least ``support`` groups and in ``share`` of those with both); among the rest a timed class,
-    then the one of more rows, then the smallest row id wins, which also breaks cycles. Null ids or groups, and rows
+    to follow it (seen in at least ``support`` groups and in ``share`` of those with both), directly or through classes
+    that the group lacks; among the topologically latest a timed class, then the one of more rows, then the smallest row id
+    wins. Classes that follow each other in a cycle are in no order. More than ``MOST_CLASSES`` classes of a field are an error. Null ids or groups, and rows
     whose value isn't real, take no part; a row repeated counts once; extra columns are ignored.
 
     A group of any size is reduced to its classes by partial aggregation before anything is paired.
@@ -72,6 +95,11 @@ def survivors(
         .filter((F.col("n") >= support) & (F.col("n") >= share * (F.col("n") + F.coalesce("m", F.lit(0)))))
         .select("field", "kind", "newer")
     )
+    bound = len(fields) * MOST_CLASSES**2
+    direct = learned.limit(bound + 1).collect()
+    if len(direct) > bound:
+        raise ValueError(f"more than {MOST_CLASSES} classes of a field")
+    learned = F.broadcast(rows.sparkSession.createDataFrame(followers(map(tuple, direct)), "field string, kind string, newer string"))
     # per group: the latest timed class and all untimed ones
     per = kinds.groupBy("g", "field").agg(
         F.max("best").alias("top"), F.max_by("kind", "best").alias("top_kind"), F.max(F.col("plain").isNotNull()).alias("mixed")
