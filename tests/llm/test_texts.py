@@ -131,6 +131,16 @@ def test_limits_and_cuts(spark):
     assert nothing.count() == none.count() == 0
 
 
+def test_cuts_are_the_same_without_broadcasts(spark, monkeypatch):
+    docs = [(i, f"The team ran for {i} minutes. It rested on the bench." + ("" if i % 7 else " Then the tea"), "ab"[i % 2], 0, "k", 0) for i in range(120)]
+    docs += [(200 + i, f"The team sat for {i} minutes.\nDesk north", "a", 0, "k", 0) for i in range(9)]
+    df = spark.createDataFrame(docs, DOCS)
+    wide = sorted(map(tuple, truncated(df)[0].collect()))
+    monkeypatch.setattr("turfline.llm.truncation.ASKED", 0)
+    monkeypatch.setattr("turfline.llm.truncation.broadcast_if_small", lambda rows, most=0: rows)
+    assert sorted(map(tuple, truncated(df)[0].collect())) == wide and {r[0] for r in wide if r[4]} == {i for i in range(120) if i % 7 == 0}
+
+
 def test_cut_beginnings_are_no_signatures(spark):
     docs = [(i, f"The team ran for {i} minutes.\nThe coach adv", "post", 0, "k", 0) for i in range(6)]
     docs += [(100 + i, f"The team sat for {i} minutes.\nThe coach advised {i} of them.", "post", 0, "k", 0) for i in range(40)]

@@ -10,9 +10,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +26,9 @@ ENCODINGS = ("characters", "utf8", "utf16", "entities", "json", "json_ascii", "c
 LEAST, SPIKE, BEYOND, SOFT = 4, 8.0, 0.1, 16
 #: Texts without closing mark end a sentence if a share of at least ENDS of their last words' occurrences do; near a soft limit, SURE.
 ENDS, SURE = 0.05, 0.8
-#: Contexts kept in a Python worker before they are handed on.
-HELD = 400_000
+#: Contexts kept in a Python worker before they are handed on, most contexts asked for that are broadcast, and most rows of
+#: signatures and of sources with limits; beyond these, joins shuffle.
+HELD, ASKED, SMALL = 400_000, 500_000, 100_000
 
 WORD = re.compile(r"([^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,]\d+)*)")
 ELLIPSIS = re.compile(r"\s*(?:\.\.\.+|…)\s*$")
@@ -112,6 +112,11 @@ def ending(text: str, signatures: frozenset[str]) -> tuple[str, str]:
     return ("broken" if kind != "closed" and HANGING.search(body[-2:]) else kind), body
 
 
+def broadcast_if_small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """The same rows, to be broadcast if they are at most ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def last_line(text: str) -> Column:
     """A short last line without closing mark below a closed text; else empty."""
     return F.trim(F.regexp_extract(F.rtrim(F.col(text)), r"[.!?…]\s*\n([^\n]{1,40})$", 1))
@@ -124,16 +129,17 @@ def common_signatures(documents: DataFrame, text: str = "text", least: int = 5)
     lines = documents.select(last_line(text).alias("line"), above.alias("above")).filter("line <> ''").filter(~F.col("line").rlike(r"[.!?…]$"))
     lines = cut(lines.groupBy("line").agg(F.count_distinct("above").alias("n")).filter(F.col("n") >= least).filter(~F.col("line").rlike(SIGNED)))
     sizes = [r[0] for r in lines.select(F.length("line")).distinct().collect()]  # at most 40
-    each = documents.select(F.explode(F.split(text, "\n")).alias("l")).select(F.regexp_replace(F.trim("l"), r"[.!?…\s]+$", "").alias("l"))
-    heads = each.select(F.left("l", F.lit(41)).alias("l")).groupBy("l").agg(F.count("*").alias("m"))
-    heads = heads.select("l", "m", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size")).filter(F.length("l") > F.col("size"))
-    longer = heads.groupBy(F.expr("left(l, size)").alias("line")).agg(F.sum("m").alias("longer"))
+    each = documents.select(F.explode(F.split(text, "\n")).alias("l")).select(F.left(F.regexp_replace(F.trim("l"), r"[.!?…\s]+$", ""), F.lit(41)).alias("l"))
+    heads = each.select("l", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size")).filter(F.length("l") > F.col("size"))
+    heads = heads.select(F.expr("left(l, size)").alias("line")).join(broadcast_if_small(lines.select("line")), "line", "left_semi")  # few lines begin like one
+    longer = heads.groupBy("line").agg(F.count("*").alias("longer"))
     return lines.join(longer, "line", "left").filter(F.coalesce("longer", F.lit(0)) <= BEYOND * F.col("n")).select("line")
 
 
 def with_signature(documents: DataFrame, signatures: DataFrame, text: str = "text") -> DataFrame:
     """Documents and the ``signature`` that their text ends in, or null. Texts without such a line are spread over the join."""
     key = F.when(last_line(text) != "", last_line(text)).otherwise(F.concat(F.lit("\n"), F.xxhash64(text).cast("string")))
+    signatures = broadcast_if_small(signatures)
     return documents.withColumn("__line", key).join(signatures.select(F.col("line").alias("__line"), F.col("line").alias("signature")), "__line", "left").drop("__line")
 
 
@@ -172,23 +178,58 @@ def examined(documents: DataFrame, doc: str = "doc_id", text: str = "text", sour
     return rows.mapInPandas(look, f"doc {kind}, source string, state string, lens array<int>, keys array<struct<o:string,key:string>>, last string")
 
 
-def sentence_ends(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``key``, ``n``, ``ends``: how often contexts of one to three words occur in the corpus, and how often a sentence ends there.
+def by_last(keys: Iterable[str]) -> dict[str, tuple[list[str], dict, dict]]:
+    """Keys of contexts by their last class: that of the class alone, those of two classes by the one before, and those of
+    three by the two before. A longer context is only there with the shorter one."""
+    out: dict[str, tuple[list[str], dict, dict]] = {}
+    for key in keys:
+        parts = [None, None, *key[2:].split(" ")]
+        if key[0] != "w":
+            own = out.setdefault(parts[-1], ([], {}, {}))
+            if key[0] == "1":
+                own[0].append(key)
+            else:
+                own[int(key[0]) - 1][parts[-2] if key[0] == "2" else (parts[-3], parts[-2])] = key
+    return out
+
+
+def sentence_ends(documents: DataFrame, asked: DataFrame, text: str = "text") -> DataFrame:
+    """``key``, ``n``, ``ends``: how often the contexts ``asked`` for (``key``) occur in the corpus, and how often a sentence ends
+    there; and the same of every name, a key that begins with ``w``.
 
-    The last word of a text without closing mark isn't counted. Counts are summed per batch of a task before the shuffle.
+    The last word of a text without closing mark isn't counted. Contexts asked for are broadcast if there are at most
+    ``ASKED``, and no others are counted then; counts are summed per batch of a task before the shuffle.
     """
+    wanted = None
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        wanted = documents.sparkSession.sparkContext.broadcast(frozenset(r["key"] for r in asked.collect()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         e: Counter = Counter()
+        table = by_last(wanted.value) if wanted else None
         for batch in batches:
             for t, own in zip(batch["t"], batch["signature"], strict=True):
                 state, _ = ending(t or "", frozenset({own}))
                 classes, words, ends = kinds(repaired(t or ""))
-                stop = len(words) - (state in ("open", "ellipsis", "broken"))
-                keys = [contexts(classes, words, i) for i in range(stop)]
-                n.update(chain.from_iterable(keys))
-                e.update(chain.from_iterable(k for k, end in zip(keys, ends, strict=False) if end))
+                two = one = None  # the classes before
+                for i in range(len(words) - (state in ("open", "ellipsis", "broken"))):
+                    c = classes[i]
+                    if table is None:
+                        keys = contexts(classes, words, i)
+                    else:
+                        keys = ["w " + words[i]] if c == "N" else []
+                        if (of := table.get(c)) is not None:
+                            keys += of[0]
+                            if (key := of[1].get(one)) is not None:
+                                keys.append(key)
+                                if (key := of[2].get((two, one))) is not None:
+                                    keys.append(key)
+                    for key in keys:
+                        n[key] += 1
+                        if ends[i]:
+                            e[key] += 1
+                    two, one = one, c
             if len(n) > HELD:
                 yield pd.DataFrame([(k, c, e[k]) for k, c in n.items()], columns=["key", "n", "ends"])
                 n.clear()
@@ -196,7 +237,11 @@ def sentence_ends(documents: DataFrame, text: str = "text") -> DataFrame:
         yield pd.DataFrame([(k, c, e[k]) for k, c in n.items()], columns=["key", "n", "ends"])
 
     rows = documents.select(F.col(text).alias("t"), "signature").mapInPandas(count, "key string, n long, ends long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    rows = rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    if wanted is None:
+        names = rows.filter(F.col("key").startswith("w "))
+        return rows.filter(~F.col("key").startswith("w ")).join(asked, "key", "left_semi").unionByName(names)
+    return rows
 
 
 def limits(seen: DataFrame) -> DataFrame:
@@ -235,7 +280,9 @@ def truncated(documents: DataFrame, doc: str = "doc_id", text: str = "text", sou
     """
     documents = with_signature(documents.select(doc, text, source), cut(common_signatures(documents, text)), text)
     seen = cut(examined(documents, doc, text, source))
-    corpus = cut(sentence_ends(documents, text))
+    # only contexts in which an open text ends, and single words before them, are counted in the corpus
+    contexts_asked = cut(seen.filter(F.size("keys") > 0).select(F.explode("keys.key").alias("key")).distinct())
+    corpus = cut(sentence_ends(documents, contexts_asked, text))
     found = cut(limits(seen))
     # whether a capitalised word that is seen nowhere else has the ending of a whole one
     whole = corpus.filter(F.col("key").rlike(r"^w \p{Lu}") & (F.col("n") >= 2)).select(F.expr("substring(key, 3)").alias("w")).filter("length(w) >= 6")
@@ -255,11 +302,11 @@ def truncated(documents: DataFrame, doc: str = "doc_id", text: str = "text", sou
     # a word that never follows the one before it, though that one is common, is the beginning of another
     whole_word = whole_word.otherwise((F.col("n1") >= 3) & ~((F.col("n2") == 0) & (F.coalesce("before", F.lit(0)) >= 200)))
     known = known.select("doc", share.alias("share"), whole_word.alias("whole_word"))
-    ranges = found.select(F.col("source").alias("ls"), "encoding", "low", "high", "hard")
-    at = seen.filter(F.col("state").isin("open", "ellipsis", "broken")).select("doc", "source", F.posexplode("lens").alias("e", "len"))
-    at = at.join(ranges, (F.col("source") == F.col("ls")) & (F.col("e") == F.col("encoding")) & F.col("len").between(F.col("low"), F.col("high")))
-    at = at.groupBy("doc").agg(F.max("hard").alias("hard"))
-    judged = seen.join(at, "doc", "left").join(known, "doc", "left")
+    # the limits of a source in one row, so that every text is compared with those of its source in place
+    ranges = broadcast_if_small(found.groupBy(F.col("source").alias("ls")).agg(F.collect_list(F.struct("encoding", "low", "high", "hard")).alias("ranges")))
+    at = F.filter("ranges", lambda l: F.get("lens", l["encoding"]).between(l["low"], l["high"]))
+    hard = F.when(F.col("state").isin("open", "ellipsis", "broken") & (F.size(at) > 0), F.exists(at, lambda l: l["hard"]))
+    judged = seen.join(ranges, F.col("source") == F.col("ls"), "left").withColumn("hard", hard).join(known, "doc", "left")
     unsure = F.col("state").isin("open", "ellipsis")
     complete = F.coalesce(F.col("whole_word") & (F.col("share") >= F.when(F.col("hard").isNotNull(), SURE).otherwise(ENDS)), F.lit(False))
     is_cut = (F.col("state") == "broken") | (unsure & (F.coalesce("hard", F.lit(False)) | ~complete))
