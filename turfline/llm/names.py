@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.text import words
+from turfline.operators.identity import WORD, NameTable, word_lcs
 from turfline.session import cut
 
 # Particles of surnames, and marks of generation, which tell no persons apart here.
@@ -38,8 +40,10 @@ SOUNDS = (("ph", "f"), ("qu", "k"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z", "
 
 #: A key held by more index names than this is kept only with an outer part, beyond the second number with the class or half, of another token.
 COMMON, VERY_COMMON = 5, 60
-#: A text of more words is no name: it has no keys and is linked to none.
+#: A text of more words is no name: it agrees with those of the very same words, in any order, and has one key for them.
 MOST_TOKENS = 15
+#: Pairs of names whose tokens are compared together, about.
+TOGETHER = 100_000
 #: Share of the letters before the common ending in which two forms of a surname may differ, and what more costs.
 STEM, UNLIKE = 0.34, 0.06
 #: Ratios from which a surname and another token agree, and the score from which names do.
@@ -200,12 +204,15 @@ class Names:
         return any(len(t) == 2 and {*t} <= {o[0] for o in other} for one, other in ((x, y), (y, x)) for t in one)
 
     def score(self, a: str, b: str) -> float:
-        """Agreement of two names, 0 to 1; tokens are separated by spaces. Empty names agree with none."""
+        """Agreement of two names, 0 to 1; tokens are separated by spaces. Empty names agree with none, and texts of more than
+        ``MOST_TOKENS`` words only with those of the same words."""
         x, y = a.split(), b.split()
         if not x or not y:
             return 0.0
-        if sorted(x) == sorted(y) and len(x) > 1:
+        if len(x) == len(y) > 1 and sorted(x) == sorted(y):
             return 1.0
+        if max(len(x), len(y)) > MOST_TOKENS:
+            return 0.0
         best = self._score(x, y) if self._hope(x, y) else 0.0
         if best < 0.93:  # a token may be split in two, or two joined
             for one, other in ((x, y), (y, x)):
@@ -215,11 +222,104 @@ class Names:
                         best = max(best, self._score([*one[:i], joined, *one[i + 2 :]], other) - 0.02)
         return best
 
+    def hopeful(self, asks: Sequence[str], names: Sequence[str]) -> np.ndarray:
+        """Whether ``score`` can be above 0, of pairs of names, all at once: as ``_hope`` asks, and two tokens of each agree, or
+        tokens joined do. Different tokens are compared once, by machine words."""
+        number, texts = pd.factorize(np.concatenate([np.asarray(asks, object), np.asarray(names, object)]))
+        x, y = number[: len(asks)], number[len(asks) :]
+        lists = [t.split() for t in texts]
+        long = np.array([len(t) > MOST_TOKENS for t in lists], bool)
+        lists = [[] if len(t) > MOST_TOKENS else t for t in lists]
+        parts: dict[str, int] = {}
+        single = [[parts.setdefault(t, len(parts)) for t in own] for own in lists]
+        both = [[parts.setdefault(s + t, len(parts)) for s, t in zip(own, own[1:])] for own in lists]
+        stands = {parts[t]: [parts.setdefault(n, len(parts)) for n in sorted(self.of[t])] for t in list(parts) if t in self.of}
+        tokens = list(parts)
+        if not tokens:
+            return long[x] & long[y]
+        plain, sounds = NameTable(tokens), NameTable([sound(t) for t in tokens])
+        info = np.array([letters(t) for t in tokens], dtype=np.uint64)
+        size, s_size = info[:, 1].astype(np.int64), info[:, 3].astype(np.int64)
+        fits = plain.fits & sounds.fits
+
+        def share(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+            """``may_agree`` of pairs of tokens."""
+            out = np.zeros(len(a), bool)
+            for letter, n in ((0, size), (2, s_size)):
+                miss = [np.bitwise_count(info[p, letter] & ~info[q, letter]).astype(np.int64) for p, q in ((a, b), (b, a))]
+                out |= 2 * np.minimum(n[a] - miss[0], n[b] - miss[1]) >= least * (n[a] + n[b])
+            return out
+
+        def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+            """Whether the ``lcs_ratio`` of pairs of tokens reaches ``least``."""
+            out = share(a, b, least)
+            at = np.flatnonzero(out & fits[a] & fits[b])
+            p, q = a[at], b[at]
+            ratio = 2 * word_lcs(plain, plain, p, q) / (size[p] + size[q])
+            heard = 0.99 * 2 * word_lcs(sounds, sounds, p, q) / (s_size[p] + s_size[q])
+            out[at] = np.where(ratio < 0.5, ratio, np.maximum(ratio, heard)) >= least
+            at = np.flatnonzero(out & ~(fits[a] & fits[b]))
+            out[at] = [lcs_ratio(tokens[i], tokens[j]) >= least for i, j in zip(a[at], b[at], strict=True)]
+            return out
+
+        initial = np.array([ord(t[0]) for t in tokens])
+
+        def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether pairs of tokens agree (``_alike``)."""
+            one = (size[a] == 1) | (size[b] == 1)
+            out = np.where(one, initial[a] == initial[b], (a == b) | alike(a, b, TOKEN))
+            for p, q in ((a, b), (b, a)):  # names that a nickname stands for, and slips of them
+                at = np.flatnonzero(~out & ~one & np.isin(p, list(stands)))
+                n = np.array([len(stands[i]) for i in p[at]], np.int64)
+                near = np.concatenate([stands[i] for i in p[at]]).astype(np.int64) if len(at) else np.empty(0, np.int64)
+                pair, other = np.repeat(at, n), q[np.repeat(at, n)]
+                out[pair[near == other]] = True
+                slip = np.unique(pair[(np.abs(size[near] - size[other]) < 3) & share(near, other, 0.85)])
+                out[slip] |= np.array([self._alike(tokens[a[i]], tokens[b[i]]) >= TOKEN for i in slip], bool)
+            return out
+
+        def padded(rows: list[list[int]]) -> np.ndarray:
+            out = np.full((len(rows), max(1, max(map(len, rows), default=1))), -1, np.int64)
+            for i, row in enumerate(rows):
+                out[i, : len(row)] = row
+            return out
+
+        def table(left: np.ndarray, right: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray], near: bool = False) -> np.ndarray:
+            """Of each pair of names, for each token of the one and of the other, whether the test holds."""
+            p, q = np.broadcast_arrays(left[:, :, None], right[:, None, :])
+            there = (p >= 0) & (q >= 0)
+            if near:
+                there &= np.abs(size[p] - size[q]) < 4
+            different, back = np.unique(p[there] * len(tokens) + q[there], return_inverse=True)
+            out = np.zeros(p.shape, bool)
+            out[there] = test(different // len(tokens), different % len(tokens))[back.ravel()]
+            return out
+
+        names_of, joined_of = padded(single), padded(both)
+        particle = np.array([t in PARTICLES for t in tokens], bool)
+        longest = np.where((names_of >= 0) & ~particle[names_of], size[names_of], 0).max(axis=1)
+        longest = np.maximum(longest[x], longest[y])
+        found = table(names_of[x], names_of[y], agreeing)
+        tall = [size[names_of[side]] >= longest[:, None] for side in (x, y)]
+        hope = (found & (tall[0][:, :, None] | tall[1][:, None, :])).any(axis=(1, 2))
+        hope &= (found.any(axis=2).sum(axis=1) >= 2) & (found.any(axis=1).sum(axis=1) >= 2)
+        hope |= long[x] & long[y]
+        # two letters may stand for two parts, however long
+        first = [{t[0] for t in own} for own in lists]
+        pairs_of = [[{*t} for t in own if len(t) == 2] for own in lists]
+        two = np.array([bool(p) for p in pairs_of], bool)
+        for i in np.flatnonzero(~hope & (two[x] | two[y]) & found.any(axis=(1, 2))):
+            hope[i] = any(t <= first[b] for a, b in ((x[i], y[i]), (y[i], x[i])) for t in pairs_of[a])
+        for left, right in ((x, y), (y, x)):  # a token may be split in two, or two joined
+            at = np.flatnonzero(~hope)
+            hope[at] = table(joined_of[left[at]], names_of[right[at]], lambda a, b: alike(a, b, SURNAME), near=True).any(axis=(1, 2))
+        return hope
+
     def keys(self, name: str) -> list[tuple[str, list[str]]]:
         """Blocking keys of a name, each with the classes of its other tokens."""
         tokens = name.split()
         if len(tokens) > MOST_TOKENS:
-            return []
+            return [("#" + " ".join(sorted(tokens)), ["#"])]  # shared by all, so that it refines nothing away
         spans = [(i, i + 1, t) for i, t in enumerate(tokens)] + [(i, i + 2, tokens[i] + tokens[i + 1]) for i in range(len(tokens) - 1)]
         out: dict[str, set[str]] = defaultdict(set)
         for i, j, token in spans:
@@ -332,9 +432,20 @@ def scored(pairs: DataFrame, short: Mapping[str, Iterable[str]], least: float =
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names(short)
+
+        def judged(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch[names.hopeful(batch["ask"], batch["name"])]
+            score = np.array([names.score(a, b) for a, b in zip(batch["ask"], batch["name"], strict=True)], float)
+            return batch.assign(score=score)[score >= least]
+
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            batch["score"] = [names.score(a, b) for a, b in zip(batch["ask"], batch["name"], strict=True)]
-            yield batch[batch["score"] >= least]
+            held.append(batch)
+            if sum(map(len, held)) >= TOGETHER:
+                yield judged(pd.concat(held, ignore_index=True))
+                held = []
+        if held:
+            yield judged(pd.concat(held, ignore_index=True))
 
     return pairs.mapInPandas(compare, "ask string, name string, score double")
 
