@@ -1,17 +1,24 @@
+import glob
 import json
+import os
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from turfline.functions.scalars import french_date, labelled, looked_up, millions, percent
 from turfline.operators import merge, search
 from turfline.operators.jobs import market_records
+from turfline.plans import app_queries
 from turfline.registry import MARKET_POSITIONS, STATUS_LABELS
 from turfline.schema import TABLES, violations
 from turfline.sources import files
 from turfline.sources.store import Store, replace_percentiles, replace_vectors
 
+from .support import DATA, check_oracle
+
+
 def test_filters_parse():
     f = search.Filters.parse({"positions": "W,ST,XX,GK", "foot": "gauche", "ageMax": "23x", "minutesMin": "0", "tier": "", "metric": ["xg", "y"], "percentileMin": 80})
     assert f == search.Filters(positions=("W", "ST"), age_max=23, minutes_min=0, metric="xg", percentile_min=80)
@@ -149,3 +156,12 @@ def test_criteria_survive_storage():
     f = search.Filters(positions=("W", "ST"), foot="left", age_min=0, contract_before="2030-01-01", metric="xg", percentile_min=60)
     assert search.Filters.parse(json.loads(f.to_json())) == f
     assert search.Filters.parse(json.loads(search.Filters().to_json())) == search.Filters()
+
+
+def test_sheet_shows_values_that_are_equal_as_rounded_once(spark, tmp_path):
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        if "player_percentiles" not in path:
+            os.symlink(path, tmp_path / os.path.basename(path))
+    rows = f"SELECT * FROM '{DATA}/player_percentiles.parquet'"
+    duckdb.sql(f"COPY ({rows} UNION ALL SELECT * REPLACE (raw_value + 1e-9 AS raw_value) FROM ({rows})) TO '{tmp_path}/player_percentiles.parquet' (FORMAT parquet)")
+    check_oracle(spark, app_queries.player_sheet, app_queries.ORACLES["player_sheet"], str(tmp_path))

@@ -89,7 +89,7 @@ def player_sheet(spark: SparkSession, d: str) -> DataFrame:
     """Radar metrics of the seasons of every player, in the group of the season itself, with the group's label and size."""
     rows = peers.own_group(B.percentiles(spark, d)).filter(F.col("metric").isin(SHEET_RADAR))
     rows = search.with_groups(rows, peers.peer_groups(B.stats(spark, d)))
-    return rows.select("player_id", "season", "peer_group_id", "metric", F.round("raw_value", 6).alias("raw_value"), "percentile", "label", "sample_size")
+    return rows.select("player_id", "season", "peer_group_id", "metric", F.round("raw_value", 6).alias("raw_value"), "percentile", "label", "sample_size").distinct()
 
 
 def percentile_groups(spark: SparkSession, d: str) -> DataFrame:
